@@ -1,11 +1,16 @@
 """The corpus queries and their SQL."""
 
 from stratum.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from stratum.llm.mixing import OP9_SQL, op9_mixing
+from stratum.llm.sharding import op2_sharding
 
 QUERIES = {
+    "op2_sharding": op2_sharding,
+    "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 SQL = {
+    "op9_mixing": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
