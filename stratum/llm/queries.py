@@ -2,10 +2,12 @@
 
 from stratum.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from stratum.llm.mixing import OP9_SQL, op9_mixing
+from stratum.llm.packing import op7_packing
 from stratum.llm.sharding import op2_sharding
 
 QUERIES = {
     "op2_sharding": op2_sharding,
+    "op7_packing": op7_packing,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
