@@ -1,13 +1,17 @@
 """The corpus queries and their SQL."""
 
 from stratum.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from stratum.llm.langid import op6_langid
 from stratum.llm.mixing import OP9_SQL, op9_mixing
 from stratum.llm.packing import op7_packing
+from stratum.llm.quality import op8_quality
 from stratum.llm.sharding import op2_sharding
 
 QUERIES = {
     "op2_sharding": op2_sharding,
+    "op6_langid": op6_langid,
     "op7_packing": op7_packing,
+    "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
