@@ -1,5 +1,6 @@
 """The corpus queries and their SQL."""
 
+from stratum.llm.ann import op5_ann
 from stratum.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from stratum.llm.langid import op6_langid
 from stratum.llm.mixing import OP9_SQL, op9_mixing
@@ -9,6 +10,7 @@ from stratum.llm.sharding import op2_sharding
 
 QUERIES = {
     "op2_sharding": op2_sharding,
+    "op5_ann": op5_ann,
     "op6_langid": op6_langid,
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
