@@ -16,6 +16,7 @@ from stratum.llm.workers import worker_memo
 
 UNDETERMINED = "und"
 BITS = 21  # of a code point
+CODES = 1_000_000  # n-grams a worker holds of a language before it sums them
 
 
 def _letters():
@@ -46,12 +47,18 @@ def gram_codes(text: str):
     return np.concatenate((s[letter], two, three[letter[1:-1]]))
 
 
-def _counts(codes):
+def _counts(codes, n=None):
+    """Distinct codes in order, and how often each occurs (or the sums of n)."""
     import numpy as np
 
-    codes = np.sort(codes)
-    at = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
-    return codes[at], np.diff(np.concatenate((at, [len(codes)])))
+    if n is None:
+        codes = np.sort(codes)
+    else:
+        order = np.argsort(codes, kind="stable")
+        codes, n = codes[order], n[order]
+    at = np.flatnonzero(np.concatenate((np.ones(min(1, len(codes)), bool), codes[1:] != codes[:-1])))
+    sums = np.diff(np.concatenate((at, [len(codes)]))) if n is None else np.add.reduceat(n, at) if len(at) else n
+    return codes[at], sums
 
 
 def _top(codes, counts, k: int):
@@ -68,7 +75,7 @@ def _top(codes, counts, k: int):
 def profiles(docs: DataFrame, train: Column, lang_col: str = "lang", text_col: str = "text", size: int = 400, salts: int = 64) -> dict[str, list[int]]:
     """language -> its ``size`` most frequent n-grams in order, over the rows where train holds and lang isn't null.
 
-    Counts cover every such row: tasks sum each batch, the sums meet by (language, n-gram). The driver gets at most
+    Counts cover every such row: tasks sum their rows in bounded memory, the sums meet by (language, n-gram). The driver gets at most
     salts * size n-grams for each language; the number of languages is that of the labels.
     """
 
@@ -76,15 +83,29 @@ def profiles(docs: DataFrame, train: Column, lang_col: str = "lang", text_col: s
         import numpy as np
         import pyarrow as pa
 
+        held: dict[str, list] = {}  # language -> pieces of (codes, counts), summed whenever they reach CODES
+        size: dict[str, int] = {}
+
+        def sum_up(lang):
+            codes, n = _counts(*(np.concatenate(x) for x in zip(*held[lang], strict=True)))
+            held[lang], size[lang] = [(codes, n)], 0
+            return codes, n
+
+        def flush(lang):
+            codes, n = sum_up(lang)
+            del held[lang]
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n)], ["lang", "code", "n"])
+
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            by: dict[str, list] = {}
-            for lang, text in zip(langs, texts, strict=True):
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
-                    by.setdefault(lang, []).append(gram_codes(text))
-            for lang, parts in by.items():
-                codes, n = _counts(np.concatenate(parts))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n.astype("i8"))], ["lang", "code", "n"])
+                    codes = gram_codes(text)
+                    held.setdefault(lang, []).append((codes, np.ones(len(codes), np.int64)))
+                    size[lang] = size.get(lang, 0) + len(codes)
+                    if size[lang] > CODES and len(sum_up(lang)[0]) > CODES:
+                        yield flush(lang)
+        for lang in list(held):
+            yield flush(lang)
 
     rows = docs.filter(train & F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{lang_col}`"), F.col(f"`{text_col}`"))
     sums = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
