@@ -3,12 +3,14 @@
 from stratum.llm.ann import op5_ann
 from stratum.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from stratum.llm.langid import op6_langid
+from stratum.llm.minhash import op1_minhash
 from stratum.llm.mixing import OP9_SQL, op9_mixing
 from stratum.llm.packing import op7_packing
 from stratum.llm.quality import op8_quality
 from stratum.llm.sharding import op2_sharding
 
 QUERIES = {
+    "op1_minhash": op1_minhash,
     "op2_sharding": op2_sharding,
     "op5_ann": op5_ann,
     "op6_langid": op6_langid,
