@@ -3,6 +3,7 @@
 from stratum.llm.ann import op5_ann
 from stratum.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from stratum.llm.langid import op6_langid
+from stratum.llm.lm import OP3_SQL, op3_lm_score
 from stratum.llm.minhash import op1_minhash
 from stratum.llm.mixing import OP9_SQL, op9_mixing
 from stratum.llm.packing import op7_packing
@@ -12,6 +13,7 @@ from stratum.llm.sharding import op2_sharding
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_sharding": op2_sharding,
+    "op3_lm_score": op3_lm_score,
     "op5_ann": op5_ann,
     "op6_langid": op6_langid,
     "op7_packing": op7_packing,
@@ -21,6 +23,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_lm_score": OP3_SQL,
     "op9_mixing": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
