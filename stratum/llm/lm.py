@@ -12,28 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.minhash import _powers, mix64
 from stratum.llm.scratch import documents, settle
+from stratum.llm.words import distinct, mix64, word_hashes
 
 BACKOFF = 0.4
 UNSEEN = 0.5  # count of a word that no other document has
 PART_BYTES = 8_000_000  # of text for each partition of the counts
 
 
-def word_hashes(raw: list[bytes]):
-    """(doc, hash) of every word, in order: white-space separated, A-Z lower-cased."""
-    import numpy as np
-
-    data = np.frombuffer(b"\n".join([b"", *(r.lower() for r in raw), b""]), np.uint8)
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    start, end = edge[0::2], edge[1::2]
-    power, inverse = _powers(len(data) + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64)))
-    word = mix64((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
-    return np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), start, side="left"), word
-
-
 def ngram_keys(doc, word, order: int) -> list:
     """For n = 1 .. order: (positions of the last word, keys) of the n-grams inside one document."""
     import numpy as np
@@ -52,14 +38,6 @@ def ngram_keys(doc, word, order: int) -> list:
     return out
 
 
-def _distinct(keys):
-    import numpy as np
-
-    keys = np.sort(keys)
-    at = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
-    return keys[at], np.diff(np.concatenate((at, [len(keys)])))
-
-
 def _pack_keys(keys, bits: int) -> bytes:
     """The 48 bits after the leading ``bits`` of sorted keys; the partition gives those."""
     import numpy as np
@@ -161,7 +139,7 @@ def score_documents(docs: DataFrame, order: int = 2, id_col: str = "doc_id", tex
 
         for batch in batches:
             for number, lengths, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys, n = _distinct(keys_of(_open(lengths, data))[2])
+                keys, n = distinct(keys_of(_open(lengths, data))[2])
                 cut = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
                 some = [p for p in range(1 << bits) if cut[p] < cut[p + 1]]
                 yield pa.RecordBatch.from_arrays(
@@ -201,7 +179,7 @@ def score_documents(docs: DataFrame, order: int = 2, id_col: str = "doc_id", tex
 
         ids = block.column("ids")[0].as_py()
         doc, grams, every = keys_of(_open(block.column("lengths")[0].as_py(), block.column("data")[0].as_py()))
-        keys, total = _distinct(every)
+        keys, total = distinct(every)
         for part, k, c in zip(*(back.column(x).to_pylist() for x in ("part", "keys", "counts")), strict=True):
             low = _unpack_keys(k)
             a, b = np.searchsorted(keys >> np.uint64(64 - bits), np.array([part, part + 1], np.uint64))

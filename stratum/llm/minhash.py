@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from stratum.llm.components import components
 from stratum.llm.membership import flag_members
 from stratum.llm.scratch import documents, settle
-from stratum.llm.workers import worker_memo
+from stratum.llm.words import mix64, word_hashes
 
 WORDS = 5
 LENGTH = 80  # signature
@@ -23,47 +23,11 @@ ROWS = 4  # of a band: a pair at 0.85 misses all 20 bands with chance 4e-7
 ALIKE = 50  # equal signature bytes of a pair worth a full check: 5.6 standard deviations below 0.85 * 80
 
 
-def mix64(x):
-    """The finalizer of splitmix64, on uint64 arrays."""
-    import numpy as np
-
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _powers(n: int):
-    """Powers of an odd base modulo 2^64, and of its inverse, at least n of each."""
-    import numpy as np
-
-    memo = worker_memo()
-    if "powers" not in memo or len(memo["powers"][0]) < n:
-        size, base = max(n, 1 << 20), 0x9E3779B97F4A7C15
-        pair = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            steps = np.full(size, b, np.uint64)
-            steps[0] = 1
-            pair.append(np.cumprod(steps))
-        memo["powers"] = tuple(pair)
-    return memo["powers"]
-
-
 def shingles(texts: list):
     """(doc, hash) arrays sorted by both: the distinct shingle hashes of each text, in one pass over their bytes."""
     import numpy as np
 
-    raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-    data = np.frombuffer(b"\n".join([b"", *raw, b""]), np.uint8)
-    ends_at = np.cumsum([len(r) + 1 for r in raw])
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    start, end = edge[0::2], edge[1::2]
-    power, inverse = _powers(len(data) + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64)))
-    word = mix64((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
-    doc = np.searchsorted(ends_at, start, side="left")
+    doc, word = word_hashes([(t or "").encode("utf-8", "surrogatepass") for t in texts])
     count = np.bincount(doc, minlength=len(texts))
     first = np.concatenate(([0], np.cumsum(count)[:-1]))
     weight = mix64(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
