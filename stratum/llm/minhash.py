@@ -1,9 +1,9 @@
 """MinHash near-dedup: SuperMinHash signatures, banding, verification on full sets and union-find grouping.
 
 Documents with equal shingle sets form a class, and only a class's smallest id goes on. In a bucket of the banding,
-every member is first checked against the bucket's smallest member, which joins large groups of copies in a number of
-checks linear in their size. Buckets whose members are then still in several components have all their remaining pairs
-compared by signature, inside neighbouring size classes, and the likely ones checked on full sets. No link that the
+every member is first checked against one centre, the member with most bucket mates, and while large buckets stay open
+against others, which joins large groups of copies in a number of checks linear in their size. Buckets whose members are
+then still in several components have all their remaining pairs across components compared by signature, inside neighbouring size classes, and the likely ones checked on full sets. No link that the
 banding can see is lost between different components.
 """
 
@@ -20,6 +20,8 @@ from stratum.llm.words import mix64, word_hashes
 WORDS = 5
 LENGTH = 80  # signature
 ROWS = 4  # of a band: a pair at 0.85 misses all 20 bands with chance 4e-7
+LARGE_BUCKET = 64  # members of a bucket that calls for another turn of stars before pairs are compared
+STAR_TURNS = 6
 ALIKE = 50  # equal signature bytes of a pair worth a full check: 5.6 standard deviations below 0.85 * 80
 
 
@@ -177,6 +179,15 @@ def verify(pairs: DataFrame, texts: DataFrame, numerator: int) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
+def _centres(held: DataFrame, turn: int) -> DataFrame:
+    """(_k, centre, centre_comp) of each bucket: its member of greatest weight, in later turns among a third of them."""
+    place = F.col("weight") * (1 << 20) + F.xxhash64("id", F.lit(turn)).bitwiseAND(F.lit((1 << 20) - 1))
+    if turn:
+        place = F.when(F.pmod(F.xxhash64("id", F.lit(-turn)), F.lit(3)) == 0, place).otherwise(place - (1 << 61))
+    best = held.withColumn("_place", place).groupBy("key").agg(F.max_by("id", "_place").alias("centre"), F.max_by("comp", "_place").alias("centre_comp"))
+    return best.select(F.expr("key ^ cast(0 as bigint)").alias("_k"), "centre", "centre_comp")
+
+
 def _likely(left: str, right: str, numerator: int):
     """Whether two classes can be linked: by set sizes (exactly), and by equal signature bytes (ALIKE of them)."""
     sizes = F.least(f"{left}.n", f"{right}.n") * 100 >= F.greatest(f"{left}.n", f"{right}.n") * numerator
@@ -185,33 +196,76 @@ def _likely(left: str, right: str, numerator: int):
     return sizes & (same >= ALIKE)
 
 
-def close_pairs(rows: DataFrame, numerator: int) -> DataFrame:
-    """Likely pairs (u, v), u < v, of one group's rows in different components. rows: (key, size_class, own, i, j, id, n, comp, sig).
+def _likely_partners(table, i: int, j: int, numerator: int):
+    """For each own row r of a group: (r, the likely partners of r in other components), by sizes, signature and ``most``.
 
     ``own`` marks rows of the group's size class; of the others, one class lower, only pairs with an own row count.
-    i and j tell the two blocks of a divided group that meet here.
+    i and j tell the two blocks of a divided group that meet here. ``most`` bounds a row's overlap with any other
+    component, so a pair with too small a bound can't be linked.
     """
+    import numpy as np
+
+    own, block = np.asarray(table.column("own")), table.column("block").to_numpy()
+    ids, n, comp, most = (table.column(c).to_numpy() for c in ("id", "n", "comp", "most"))
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, LENGTH)
+    for r in np.flatnonzero(own):
+        ok = (comp != comp[r]) & (100 * np.minimum(n, n[r]) >= numerator * np.maximum(n, n[r])) & (~own | (ids > ids[r]))
+        ok &= (100 + numerator) * np.minimum(most, most[r]) >= numerator * (n + n[r])
+        ok &= ((block == j) & (block[r] == i)) | ((block == i) & (block[r] == j))
+        at = np.flatnonzero(ok)
+        yield r, at[(sig[at] == sig[r]).sum(1) >= ALIKE]
+
+
+def likely_members(rows: DataFrame, numerator: int) -> DataFrame:
+    """The ids of rows that have a likely partner in their group."""
+
+    def run(key, table):
+        import numpy as np
+        import pyarrow as pa
+
+        ids, found = table.column("id").to_numpy(), np.zeros(table.num_rows, bool)
+        for r, at in _likely_partners(table, key[2].as_py(), key[3].as_py(), numerator):
+            found[at] = True
+            found[r] |= len(at) > 0
+        return pa.table([pa.array(np.unique(ids[found]))], ["id"])
+
+    return rows.groupBy("key", "size_class", "i", "j").applyInArrow(run, "id long").distinct()
+
+
+def close_pairs(rows: DataFrame, numerator: int) -> DataFrame:
+    """The likely pairs (u, v), u < v, of each group of rows."""
 
     def run(key, table):
         import numpy as np
         import pyarrow as pa
 
-        i, j = key[2].as_py(), key[3].as_py()
-        own, block = np.asarray(table.column("own")), table.column("block").to_numpy()
-        ids, n, comp = (table.column(c).to_numpy() for c in ("id", "n", "comp"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, LENGTH)
-        us, vs = [], []
-        for r in np.flatnonzero(own):
-            ok = (comp != comp[r]) & (100 * np.minimum(n, n[r]) >= numerator * np.maximum(n, n[r])) & (~own | (ids > ids[r]))
-            ok &= ((block == j) & (block[r] == i)) | ((block == i) & (block[r] == j))
-            at = np.flatnonzero(ok)
-            at = at[(sig[at] == sig[r]).sum(1) >= ALIKE]
+        ids, us, vs = table.column("id").to_numpy(), [], []
+        for r, at in _likely_partners(table, key[2].as_py(), key[3].as_py(), numerator):
             us.append(np.minimum(ids[at], ids[r]))
             vs.append(np.maximum(ids[at], ids[r]))
         u, v = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (us, vs))
         return pa.table([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return rows.groupBy("key", "size_class", "i", "j").applyInArrow(run, "u long, v long")
+    return rows.groupBy("key", "size_class", "i", "j").applyInArrow(run, "u long, v long").distinct()
+
+
+def foreign_overlap(texts: DataFrame, comps: DataFrame) -> DataFrame:
+    """(_i, most): of each text's shingles, how many occur in a text of another component. comps: (id, comp)."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, comp, raw = (c.to_numpy(zero_copy_only=False) if k < 2 else c.to_pylist() for k, c in enumerate(batch.columns))
+            for a, b in _chunks(raw):
+                doc, h = shingles(raw[a:b])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[a:b][doc]), pa.array(comp[a:b][doc])], ["h", "id", "comp"])
+
+    given = comps.select(F.col("id").alias("_i"), "comp")
+    each = settle(texts.join(given, F.col("id") == F.col("_i")).select("id", "comp", "text").mapInArrow(run, "h long, id long, comp long"), "open-shingles")
+    wide = each.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select(F.expr("h ^ cast(0 as bigint)").alias("_h"))
+    return each.join(wide, F.col("h") == F.col("_h")).groupBy("id").agg(F.count("*").alias("most")).select(F.col("id").alias("_i"), "most")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", numerator: int = 85, block: int = 512) -> DataFrame:
@@ -228,33 +282,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = able.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = settle(classes, "classes")
     banded = classes.select(F.explode("bands").alias("key"), "id")
-    shared = banded.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("many")).filter("many > 1").select(F.expr("key ^ cast(0 as bigint)").alias("_k"), "low", "many")
-    members = settle(banded.join(shared, F.col("key") == F.col("_k")).select("key", "id", "low", "many"), "members")
+    shared = banded.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1").select(F.expr("key ^ cast(0 as bigint)").alias("_k"), "many")
+    members = settle(banded.join(shared, F.col("key") == F.col("_k")).select("key", "id", "many"), "members")
+    # How many bucket mates a member has in all: high for the middle of a group, which most others are close to.
+    weights = members.groupBy("id").agg(F.sum("many").alias("weight")).select(F.col("id").alias("_i"), "weight")
+    members = settle(members.join(weights, F.col("id") == F.col("_i")).select("key", "id", "many", "weight"), "weighted")
 
-    needed = members.select("id").distinct()
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).filter("id is not null and text is not null")
-    texts = settle(flag_members(rows, "id", needed, "some").filter("some").select("id", "text"), "texts")
+    texts = settle(flag_members(rows, "id", members.select("id").distinct(), "some").filter("some").select("id", "text"), "texts")
     props = classes.select("id", "n", "sig")
 
-    stars = members.filter("id <> low").select(F.col("low").alias("u"), F.col("id").alias("v")).distinct()
-    stars = stars.join(props.alias("a"), F.col("u") == F.col("a.id")).join(props.alias("b"), F.col("v") == F.col("b.id")).filter(_likely("a", "b", numerator)).select("u", "v")
-    first = settle(verify(stars, texts, numerator), "links")
-    groups = components(first)
+    links, held = None, members.withColumn("comp", F.col("id"))
+    for turn in range(STAR_TURNS):
+        centred = held.join(_centres(held, turn), F.col("key") == F.col("_k")).filter("comp <> centre_comp")
+        stars = centred.select(F.least("id", "centre").alias("u"), F.greatest("id", "centre").alias("v")).distinct()
+        stars = stars.join(props.alias("a"), F.col("u") == F.col("a.id")).join(props.alias("b"), F.col("v") == F.col("b.id")).filter(_likely("a", "b", numerator)).select("u", "v")
+        new = settle(verify(stars, texts, numerator), f"links-{turn}")
+        links = new if links is None else links.unionByName(new)
+        groups = components(links)
+        held = members.join(groups, F.col("id") == F.col("node"), "left").select("key", "id", "many", "weight", F.coalesce("component", "id").alias("comp"))
+        apart = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select(F.expr("key ^ cast(0 as bigint)").alias("_k"))
+        held = settle(held.join(apart, F.col("key") == F.col("_k")).select("key", "id", "many", "weight", "comp"), f"open-{turn}")
+        if not held.filter(F.col("many") > LARGE_BUCKET).limit(1).count():
+            break
 
-    held = members.join(groups, F.col("id") == F.col("node"), "left").select("key", "id", "many", F.coalesce("component", "id").alias("comp"))
-    held = settle(held, "held")
-    apart = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select(F.expr("key ^ cast(0 as bigint)").alias("_k"))
-    open_ = held.join(apart, F.col("key") == F.col("_k")).select("key", "id", "many", "comp")
-    open_ = open_.join(props.select(F.col("id").alias("_i"), "n", "sig"), F.col("id") == F.col("_i"))
+    open_ = held.join(props.select(F.col("id").alias("_i"), "n", "sig"), F.col("id") == F.col("_i"))
     ratio = numerator / 100
     sized = open_.withColumn("class", F.floor(F.log("n") / -F.log(F.lit(ratio)) + 1e-9).cast("int"))
     sized = sized.withColumn("g", F.explode(F.array(F.lit(0), F.lit(1)))).select("key", (F.col("class") + F.col("g")).alias("size_class"), (F.col("g") == 0).alias("own"), "many", "id", "n", "comp", "sig")
     sized = sized.withColumn("blocks", F.ceil(F.col("many") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).select("key", "size_class", "i", "j", "own", "block", "id", "n", "comp", "sig")
-    more = settle(verify(close_pairs(dealt, numerator).distinct(), texts, numerator), "more-links")
+    # Texts that share a long passage look alike and aren't: what a text shares with other components bounds its links.
+    likely = settle(likely_members(dealt.withColumn("most", F.col("n")), numerator), "likely")
+    comps = likely.join(open_.select(F.col("id").alias("_o"), "comp").distinct(), F.col("id") == F.col("_o")).select("id", "comp")
+    most = settle(foreign_overlap(texts, comps), "overlaps")
+    dealt = dealt.join(most, F.col("id") == F.col("_i")).filter(F.col("most") * 100 >= F.col("n") * numerator).drop("_i")
+    more = settle(verify(close_pairs(dealt, numerator), texts, numerator), "more-links")
     if more.limit(1).count():
-        groups = components(first.unionByName(more))
+        groups = components(links.unionByName(more))
     groups = settle(groups, "components")
 
     cls = classes.select(F.concat(F.col("digest"), F.lit(b"")).alias("_d"), F.col("id").alias("head"))
