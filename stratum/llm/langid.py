@@ -12,11 +12,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratum.llm.scratch import documents, settle
-from stratum.llm.workers import worker_memo
+from stratum.llm.workers import stream, tidy, worker_memo
 
 UNDETERMINED = "und"
 BITS = 21  # of a code point
-CODES = 1_000_000  # n-grams a worker holds of a language before it sums them
+CODES = 250_000  # n-grams a worker holds of a language before it sums them
 
 
 def _letters():
@@ -25,7 +25,7 @@ def _letters():
 
     memo = worker_memo()
     if "letters" not in memo:
-        table = np.zeros(0x110000, np.int64)
+        table = np.zeros(0x110000, np.int32)
         for c in range(0x110000):
             ch = chr(c)
             if ch.isalpha():
@@ -39,7 +39,7 @@ def gram_codes(text: str):
     import numpy as np
 
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    s = np.concatenate(([0], _letters()[points], [0]))
+    s = np.concatenate(([0], _letters()[points], [0])).astype(np.int64)
     s = s[np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))]  # one blank between words
     letter = s != 0
     two = (s[:-1] << BITS) | s[1:]
@@ -97,7 +97,7 @@ def profiles(docs: DataFrame, train: Column, lang_col: str = "lang", text_col: s
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n)], ["lang", "code", "n"])
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for lang, text in zip(stream(batch.column(0)), stream(batch.column(1)), strict=True):
                 if text:
                     codes = gram_codes(text)
                     held.setdefault(lang, []).append((codes, np.ones(len(codes), np.int64)))
@@ -106,6 +106,7 @@ def profiles(docs: DataFrame, train: Column, lang_col: str = "lang", text_col: s
                         yield flush(lang)
         for lang in list(held):
             yield flush(lang)
+        tidy()
 
     rows = docs.filter(train & F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{lang_col}`"), F.col(f"`{text_col}`"))
     sums = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
@@ -139,7 +140,7 @@ def identify(docs: DataFrame, known: dict[str, list[int]], id_col: str = "doc_id
             ranks[i, np.searchsorted(grams, np.array(known[lang], np.int64))] = np.arange(len(known[lang]))
         for batch in batches:
             langs, scores = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
+            for text in stream(batch.column(batch.num_columns - 1)):
                 codes = gram_codes(text) if text and names else ()
                 if len(codes) < 2:  # blanks alone make one
                     langs.append(UNDETERMINED)
@@ -155,6 +156,7 @@ def identify(docs: DataFrame, known: dict[str, list[int]], id_col: str = "doc_id
                 scores.append(1.0 - float(apart[i]) / (size * len(top)))
             arrays = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+        tidy()
 
     given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text"))
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)

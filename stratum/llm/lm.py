@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from stratum.llm.scratch import documents, settle
 from stratum.llm.words import distinct, mix64, word_hashes
+from stratum.llm.workers import stream, tidy
 
 BACKOFF = 0.4
 UNSEEN = 0.5  # count of a word that no other document has
@@ -89,7 +90,7 @@ def _lay_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -
 
         ids, raw, size = [], [], 0
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i, t in zip(stream(batch.column(0)), stream(batch.column(1)), strict=True):
                 ids.append(i)
                 raw.append((t or "").encode("utf-8", "surrogatepass"))
                 size += len(raw[-1])
@@ -98,6 +99,7 @@ def _lay_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -
                     ids, raw, size = [], [], 0
         if ids:
             yield emit(ids, raw)
+        tidy()
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`"))
     return rows.mapInArrow(run, "block long, words long, ids array<long>, lengths binary, data binary")

@@ -16,6 +16,7 @@ from stratum.llm.components import components
 from stratum.llm.membership import flag_members
 from stratum.llm.scratch import documents, settle
 from stratum.llm.words import mix64, word_hashes
+from stratum.llm.workers import slices, tidy
 
 WORDS = 5
 LENGTH = 80  # signature
@@ -115,7 +116,7 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = batch.column(1).to_pylist()
             for a, b in _chunks(texts):
                 doc, h = shingles(texts[a:b])
@@ -134,6 +135,7 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     [batch.column(0).slice(a, b - a), pa.array(n.astype("i8")), pa.array(digest, pa.binary()), pa.array([keys[i].tolist() if full[i] else None for i in range(b - a)], pa.list_(pa.int64())), pa.array([low[i].tobytes() if full[i] else None for i in range(b - a)], pa.binary())],
                     ["id", "n", "digest", "bands", "sig"],
                 )
+        tidy()
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`"))
     return rows.mapInArrow(run, "id long, n long, digest binary, bands array<long>, sig binary")
@@ -146,7 +148,7 @@ def verify(pairs: DataFrame, texts: DataFrame, numerator: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             us, vs, left, right = (c.to_pylist() for c in batch.columns)
             keep, known = [], {}
             begin = 0
@@ -172,6 +174,7 @@ def verify(pairs: DataFrame, texts: DataFrame, numerator: int) -> DataFrame:
                         keep.append(p)
                 begin = stop
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], ["u", "v"])
+        tidy()
 
     t = texts.select(F.col("id").alias("_i"), "text")
     both = pairs.select("u", "v").join(t, F.col("u") == F.col("_i")).select("u", "v", F.col("text").alias("left"))
@@ -256,7 +259,7 @@ def foreign_overlap(texts: DataFrame, comps: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             ids, comp, raw = (c.to_numpy(zero_copy_only=False) if k < 2 else c.to_pylist() for k, c in enumerate(batch.columns))
             for a, b in _chunks(raw):
                 doc, h = shingles(raw[a:b])

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from stratum.llm.scratch import documents, settle
 from stratum.llm.tokens import id_bytes
+from stratum.llm.workers import stream, tidy
 
 
 class CapacityTree:
@@ -99,7 +100,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end
         for batch in batches:
             rows, cols = [], ([], [], [], [], [])
             piece, start, length, crc, nth = cols
-            for at, text in enumerate(batch.column(1).to_pylist()):
+            for at, text in enumerate(stream(batch.column(1))):
                 data = (ids(text) if text else b"") + end
                 view, n = memoryview(data), len(data) // 4
                 begin, stop = 0, (n - 1) % size + 1
@@ -116,6 +117,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end
             doc = batch.column(0).take(pa.array(rows, pa.int64()))
             own = [pa.array(c, kind) for c, kind in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays([doc, *own[:4], pa.array(np.full(len(rows), task, "i4")), own[4]], ["doc_id", "piece", "start", "length", "ids_crc32", "_task", "_nth"])
+        tidy()
 
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from stratum.llm.langid import fold
 from stratum.llm.scratch import documents, settle
+from stratum.llm.workers import stream, tidy
 
 FEATURES = (
     "bytes", "words", "word_bytes", "longest_word", "upper_of_letters", "letters", "digits", "spaces", "newlines", "full_stops", "commas", "bangs", "bars", "signs", "other_marks",
@@ -173,8 +174,9 @@ def featurize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         import pyarrow as pa
 
         for batch in batches:
-            rows = [text_features(t) for t in batch.column(1).to_pylist()]
+            rows = [text_features(t) for t in stream(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float32()))], ["id", "features"])
+        tidy()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`")).mapInArrow(run, f"id {kind}, features array<float>")

@@ -17,6 +17,7 @@ from stratum.llm.membership import flag_members
 from stratum.llm.scratch import documents, settle
 from stratum.llm.suffixes import MOST, suffix_order
 from stratum.llm.words import Spans
+from stratum.llm.workers import slices, stream, tidy
 
 GRAM = 32  # bytes of an anchor
 HOT_TEXTS, HOT_BYTES = 500, 1_000_000  # beyond these an anchor is divided
@@ -74,7 +75,7 @@ def runs_of(texts: DataFrame, length: int) -> DataFrame:
                 arrays = [pa.array(c.astype(k).view("i8") if k == "u8" else c.astype(k)) for c, k in zip(cols, kinds, strict=True)]
                 return pa.RecordBatch.from_arrays(arrays, ["doc", "start", "windows", "a", "c", "times"])
 
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, text in zip(stream(batch.column(0)), stream(batch.column(1)), strict=True):
                 data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8) if text else ()
                 if len(data) >= length:
                     found = find_runs(data, length)
@@ -85,6 +86,7 @@ def runs_of(texts: DataFrame, length: int) -> DataFrame:
                         parts, size = [], 0
             if parts:
                 yield flush(parts)
+        tidy()
 
     return texts.mapInArrow(run, "doc long, start int, windows int, a long, c long, times int")
 
@@ -184,7 +186,7 @@ def removed_spans(texts: DataFrame, length: int) -> DataFrame:
     def cut(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             cols = ([], [], [], [])
             for text, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
@@ -227,7 +229,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
         for batch in batches:
             cols = ([], [], [], [], [])
-            for text, items in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, items in zip(stream(batch.column(1)), stream(batch.column(2)), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 kept, removed, n = data, 0, 0
                 if items:

@@ -10,7 +10,7 @@ from stratum.llm.workers import worker_memo
 
 #: White space that is not one lone space inside a text: there, a text can't be cut before each space.
 _RUNS = re.compile(r"\s | \s")
-CACHED_PIECES = 300_000
+CACHED_PIECES = 200_000
 
 
 class _Pieces(dict):
