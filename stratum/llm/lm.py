@@ -2,7 +2,7 @@
 
 Documents are laid into blocks. Each block's distinct n-grams go, with their counts, to the partition their hash
 names; there the counts of all blocks meet in one table, which is joined to the n-grams again, and the totals travel
-back to the blocks that hold an n-gram others hold too. A block then explodes its documents into n-grams, looks
+back to the blocks, in the order of their own n-grams. A block then explodes its documents into n-grams, looks
 their totals up, and sums each document's scores. A document's own occurrences are taken off every count, so a text
 is judged by the rest of the corpus. N-grams move as packed arrays: a frequent one is one entry per block.
 """
@@ -162,18 +162,16 @@ def score_documents(docs: DataFrame, order: int = 2, id_col: str = "doc_id", tex
         at = np.flatnonzero(np.concatenate((np.ones(min(1, len(ranked)), bool), ranked[1:] != ranked[:-1])))
         total = np.zeros(len(flat), np.int64)
         total[order_] = np.repeat(np.add.reduceat(own[order_], at), np.diff(np.concatenate((at, [len(ranked)])))) if len(at) else 0
-        keys, counts, begin = [], [], 0
+        counts, begin = [], 0
         for k in lists:
             mine = slice(begin, begin + len(k))
-            more = total[mine] > own[mine]
-            keys.append(_pack_keys(k[more] << np.uint64(16), 0))
-            counts.append(_pack_counts(total[mine][more]))
+            counts.append(_pack_counts(np.where(total[mine] > own[mine], total[mine], 0)))
             begin += len(k)
-        return pa.table([pa.array([part.as_py()] * len(lists), pa.int32()), numbers, pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["part", "block", "keys", "counts"])
+        return pa.table([pa.array([part.as_py()] * len(lists), pa.int32()), numbers, pa.array(counts, pa.binary())], ["part", "block", "counts"])
 
     kind = "part int, block long, keys binary, counts binary"
     sent = blocks.select("block", "lengths", "data").mapInArrow(send, kind)
-    totals = sent.groupBy("part").applyInArrow(count, kind)
+    totals = sent.groupBy("part").applyInArrow(count, "part int, block long, counts binary")
 
     def score(key, block, back):
         import numpy as np
@@ -182,11 +180,10 @@ def score_documents(docs: DataFrame, order: int = 2, id_col: str = "doc_id", tex
         ids = block.column("ids")[0].as_py()
         doc, grams, every = keys_of(_open(block.column("lengths")[0].as_py(), block.column("data")[0].as_py()))
         keys, total = distinct(every)
-        for part, k, c in zip(*(back.column(x).to_pylist() for x in ("part", "keys", "counts")), strict=True):
-            low = _unpack_keys(k)
+        for part, c in zip(back.column("part").to_pylist(), back.column("counts").to_pylist(), strict=True):
             a, b = np.searchsorted(keys >> np.uint64(64 - bits), np.array([part, part + 1], np.uint64))
-            mine = (keys[a:b] << np.uint64(bits)) >> np.uint64(16)
-            total[a + np.searchsorted(mine, low)] = _unpack_counts(c, len(low))
+            more = _unpack_counts(c, b - a)  # in the order of the block's own keys; 0 where no other block has the key
+            total[a:b] = np.where(more > 0, more, total[a:b])
         n_docs = len(ids)
         tokens = np.bincount(doc, minlength=n_docs)
         rest = np.maximum(1, words - tokens)[doc]
