@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from stratum.functions import binary as B
 from stratum.functions import paths as P
 from stratum.operators import diff, integrity, pool, registry
 
@@ -583,3 +584,27 @@ def q68_two_level_diff(spark, d):
 @query(DEL + " GROUP BY 1")
 def q69_ref_event_log(spark, d):
     return pool.ref_counts(events_log(spark, d), delta=F.col("delta"))
+
+
+@query("SELECT doc_id // 1024 AS rx, doc_id % 32 AS cx, (doc_id % 1024) // 32 AS cz, doc_id AS stamp, 2 AS scheme, strlen(text) AS bytes FROM documents")
+def q46_region_codec_roundtrip(spark, d):
+    i = F.col("doc_id")
+    cell = F.struct((i % 32).cast("int").alias("cx"), F.expr("cast((doc_id % 1024) div 32 as int)").alias("cz"), i.alias("timestamp"), F.lit(2).cast("smallint").alias("compression"), F.col("text").cast("binary").alias("payload"))
+    packed = table(spark, d, "documents").groupBy(F.expr("doc_id div 1024").alias("rx")).agg(B.pack_region(F.collect_list(cell)).alias("data"))
+    cells = packed.select("rx", F.explode(B.scan_region("data")["cells"]).alias("c"))
+    return cells.select("rx", F.col("c.cx").cast("long").alias("cx"), F.col("c.cz").cast("long").alias("cz"), F.col("c.timestamp").alias("stamp"), F.col("c.compression").cast("int").alias("scheme"), F.length("c.payload").cast("long").alias("bytes"))
+
+
+@query(R + " SELECT id, priority AS mc_version, (id % 5000)::INTEGER AS data_version, ts AS last_played_ms FROM r")
+def q47_nbt_version_roundtrip(spark, d):
+    r = reg(spark, d).withColumn("data", B.build_world_info("priority", (F.col("id") % 5000).cast("int"), "ts"))
+    return r.withColumn("info", B.world_info("data")).select("id", "info.mc_version", "info.data_version", "info.last_played_ms")
+
+
+@query("SELECT DISTINCT l_suppkey AS snapshot, l_returnflag AS dimension, l_partkey % 32 AS cx, l_linenumber AS cz, md5(l_partkey::VARCHAR) AS content_hash FROM lineitem")
+def q49_manifest_codec_roundtrip(spark, d):
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_returnflag", (F.col("l_partkey") % 32).cast("int").alias("cx"), F.col("l_linenumber").alias("cz"), F.md5(F.col("l_partkey").cast("string").cast("binary")).alias("h")).distinct()
+    row = F.struct(F.col("l_returnflag").alias("dimension"), F.lit(0).alias("rx"), F.lit(0).alias("rz"), "cx", "cz", F.lit(2).alias("compression"), F.lit(0).cast("long").alias("timestamp"), F.unhex("h").alias("content_hash"))
+    made = li.groupBy(F.col("l_suppkey").alias("snapshot")).agg(B.encode_manifest(F.collect_list(row)).alias("data"))
+    out = made.select("snapshot", F.explode(B.decode_manifest("data")).alias("r"))
+    return out.select("snapshot", "r.dimension", F.col("r.cx").cast("long").alias("cx"), F.col("r.cz").alias("cz"), F.lower(F.hex("r.content_hash")).alias("content_hash"))
