@@ -7,28 +7,42 @@ from pyspark.sql import functions as F
 
 from stratum.codecs import manifest, nbt, region
 
+
+
+def arrow(ddl: str):
+    """A pandas UDF made when it is first applied: types can be named before there is a session."""
+
+    def wrap(f):
+        def apply(*columns):
+            return F.pandas_udf(f, ddl)(*columns)
+
+        return apply
+
+    return wrap
+
+
 CELLS = "array<struct<cx:int,cz:int,timestamp:bigint,compression:smallint,payload:binary,external:boolean>>"
 
 
-@F.pandas_udf("binary")
+@arrow("binary")
 def chunk_hash(compression: pd.Series, payload: pd.Series) -> pd.Series:
     return pd.Series([region.chunk_hash(int(c), p or b"") for c, p in zip(compression, payload, strict=True)])
 
 
-@F.pandas_udf(f"struct<cells:{CELLS},error:string>")
+@arrow(f"struct<cells:{CELLS},error:string>")
 def scan_region(data: pd.Series) -> pd.DataFrame:
     names = ("cx", "cz", "timestamp", "compression", "payload", "external")
     rows = [region.scan(bytes(d)) for d in data]
     return pd.DataFrame({"cells": [[dict(zip(names, c, strict=True)) for c in cells] for cells, _ in rows], "error": [e for _, e in rows]})
 
 
-@F.pandas_udf("binary")
+@arrow("binary")
 def pack_region(cells: pd.Series) -> pd.Series:
     """From arrays of structs cx, cz, timestamp, compression, payload, packed in the order of (cz, cx)."""
     return pd.Series([region.pack(sorted(((int(c["cx"]), int(c["cz"]), int(c["timestamp"]), int(c["compression"]), bytes(c["payload"])) for c in cs), key=lambda c: (c[1], c[0]))) for cs in cells])
 
 
-@F.pandas_udf("binary")
+@arrow("binary")
 def decompress(compression: pd.Series, payload: pd.Series) -> pd.Series:
     """Null where the payload is malformed or its scheme unknown."""
 
@@ -41,7 +55,7 @@ def decompress(compression: pd.Series, payload: pd.Series) -> pd.Series:
     return pd.Series([one(c, p) for c, p in zip(compression, payload, strict=True)])
 
 
-@F.pandas_udf("struct<mc_version:string,data_version:int,last_played_ms:bigint>")
+@arrow("struct<mc_version:string,data_version:int,last_played_ms:bigint>")
 def world_info(data: pd.Series) -> pd.DataFrame:
     rows = []
     for d in data:
@@ -50,12 +64,12 @@ def world_info(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"mc_version": [r[0] for r in rows], "data_version": pd.array([r[1] for r in rows], "Int32"), "last_played_ms": pd.array([r[2] for r in rows], "Int64")})
 
 
-@F.pandas_udf("array<string>")
+@arrow("array<string>")
 def palette(data: pd.Series) -> pd.Series:
     return pd.Series([nbt.palette(bytes(d)) for d in data])
 
 
-@F.pandas_udf("binary")
+@arrow("binary")
 def build_world_info(name: pd.Series, number: pd.Series, played: pd.Series) -> pd.Series:
     """The tags that world_info reads: for tests and exchange."""
 
@@ -67,7 +81,7 @@ def build_world_info(name: pd.Series, number: pd.Series, played: pd.Series) -> p
     return pd.Series([one(*x) for x in zip(name, number, played, strict=True)])
 
 
-@F.pandas_udf("binary")
+@arrow("binary")
 def encode_manifest(rows: pd.Series) -> pd.Series:
     """From arrays of structs dimension, rx, rz, cx, cz, compression, timestamp, content_hash."""
 
@@ -80,7 +94,7 @@ def encode_manifest(rows: pd.Series) -> pd.Series:
     return pd.Series([one(r) for r in rows])
 
 
-@F.pandas_udf("array<struct<dimension:string,rx:int,rz:int,cx:int,cz:int,compression:int,timestamp:bigint,content_hash:binary>>")
+@arrow("array<struct<dimension:string,rx:int,rz:int,cx:int,cz:int,compression:int,timestamp:bigint,content_hash:binary>>")
 def decode_manifest(data: pd.Series) -> pd.Series:
     def one(d):
         _, dims, _ = manifest.decode(bytes(d))
