@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from stratum.llm.scratch import settle
 
+TASK_EDGES = 500_000  # that one task joins by union-find
+
 
 def contract(edges: DataFrame) -> DataFrame:
     """Edges (u, v) of a task replaced by (node, smallest node of its set), by union-find over that task's edges."""
@@ -50,11 +52,14 @@ def _least(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node of each connected component, for every node that has an edge (u, v), u <> v.
 
-    Each round links every node's larger neighbours to its smallest (large star), then all its smaller ones (small
+    As many tasks as have TASK_EDGES edges each run union-find; one task's sets are the answer, those of several meet
+    in rounds. Each round links every node's larger neighbours to its smallest (large star), then all its smaller ones (small
     star); rounds grow with the logarithm of a component's size. Each round is written to the shared folder.
     """
-    edges = settle(contract(edges).distinct(), "stars")
-    while True:
+    parts = edges.count() // TASK_EDGES + 1
+    edges = contract(edges.coalesce(parts))
+    edges = settle(edges if parts == 1 else edges.distinct(), "stars")
+    while parts > 1:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_least(both), F.col("u") == F.col("_k")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = settle(large, "large")

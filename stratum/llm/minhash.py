@@ -22,7 +22,7 @@ WORDS = 5
 LENGTH = 80  # signature
 ROWS = 4  # of a band: a pair at 0.85 misses all 20 bands with chance 4e-7
 LARGE_BUCKET = 64  # members of a bucket that calls for another turn of stars before pairs are compared
-STAR_TURNS = 6
+STAR_TURNS = 3
 ALIKE = 50  # equal signature bytes of a pair worth a full check: 5.6 standard deviations below 0.85 * 80
 
 
