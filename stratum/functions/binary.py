@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from stratum.codecs import manifest, nbt, region
+from stratum.codecs import manifest, nbt, raster, region
 
 
 
@@ -101,3 +101,18 @@ def decode_manifest(data: pd.Series) -> pd.Series:
         return [dict(dimension=k, rx=rx, rz=rz, cx=c[0], cz=c[1], compression=c[2], timestamp=c[3], content_hash=c[4]) for k, regions in dims.items() for rx, rz, cells in regions for c in cells]
 
     return pd.Series([one(d) for d in data])
+
+
+def render_tile(payload, colours: dict, mode: str = "topdown"):
+    """768 bytes of each decompressed cell; null where it can't be read."""
+
+    def run(data: pd.Series) -> pd.Series:
+        def one(d):
+            try:
+                return raster.tile(bytes(d), colours, mode)
+            except (nbt.BadTag, KeyError, TypeError, RecursionError):
+                return None
+
+        return pd.Series([None if d is None else one(d) for d in data])
+
+    return F.pandas_udf(run, "binary")(payload)

@@ -226,3 +226,12 @@ class Vault:
         rows = self.table("log_refs").filter(F.col("log_snapshot_id") == lid)
         rows = rows if server is None else rows.filter(F.col("server") == server)
         return rows.join(self.table("pool_logs"), F.col("sha256") == F.col("content_hash")).select(F.concat_ws("/", "server", "path").alias("target"), F.col("blob").alias("content"))
+
+    def tiles(self, sid: str, colours: dict) -> DataFrame:
+        """(content_hash, mode, rgb): a tile of each distinct payload in each mode its dimensions call for; null if unreadable."""
+        wanted = self.cells_of(sid).select("content_hash", F.explode(P.render_modes(F.col("dimension_key"))).alias("mode")).distinct()
+        blobs = wanted.join(self.table("pool_chunks"), "content_hash")
+        scheme = F.conv(F.hex(F.substring("blob", 1, 1)), 16, 10).cast("int")
+        raw = blobs.select("content_hash", "mode", B.decompress(scheme, F.expr("substring(blob, 2)")).alias("raw"))
+        out = [raw.filter(F.col("mode") == m).select("content_hash", "mode", B.render_tile("raw", colours, m).alias("rgb")) for m in ("topdown", "nether-floor", "nether-roof")]
+        return out[0].unionByName(out[1]).unionByName(out[2])
