@@ -11,6 +11,7 @@ too many distinct texts for one task take the same windows one by one, by finger
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratum.llm.membership import flag_members
@@ -156,7 +157,10 @@ def repeated_fingerprints(texts: DataFrame, length: int) -> DataFrame:
 
     each = settle(texts.mapInArrow(spread, "fp long, rid long, from int"), "fingerprints")
     twice = each.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select(F.expr("fp ^ cast(0 as bigint)").alias("_k"))
-    return each.join(twice, F.col("fp") == F.col("_k")).select("rid", "from", F.col("from").alias("to"))
+    hits = each.join(twice, F.col("fp") == F.col("_k")).select("rid", "from")
+    # Neighbouring windows of a text become one row.
+    island = F.col("from") - F.row_number().over(W.partitionBy("rid").orderBy("from"))
+    return hits.withColumn("_island", island).groupBy("rid", "_island").agg(F.min("from").alias("from"), F.max("from").alias("to")).select("rid", "from", "to")
 
 
 def _remade(rows: DataFrame, *keys: str) -> DataFrame:
