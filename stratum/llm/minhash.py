@@ -23,7 +23,7 @@ LENGTH = 80  # signature
 ROWS = 4  # of a band: a pair at 0.85 misses all 20 bands with chance 4e-7
 LARGE_BUCKET = 64  # members of a bucket that calls for another turn of stars before pairs are compared
 STAR_TURNS = 3
-ALIKE = 50  # equal signature bytes of a pair worth a full check: 5.6 standard deviations below 0.85 * 80
+ALIKE = 52  # equal signature bytes of a pair worth a full check: 5 standard deviations below 0.85 * 80
 
 
 def shingles(texts: list):
@@ -199,24 +199,27 @@ def _likely(left: str, right: str, numerator: int):
     return sizes & (same >= ALIKE)
 
 
-def _likely_partners(table, i: int, j: int, numerator: int):
+def _likely_partners(table, key: int, i: int, j: int, numerator: int):
     """For each own row r of a group: (r, the likely partners of r in other components), by sizes, signature and ``most``.
 
     ``own`` marks rows of the group's size class; of the others, one class lower, only pairs with an own row count.
     i and j tell the two blocks of a divided group that meet here. ``most`` bounds a row's overlap with any other
-    component, so a pair with too small a bound can't be linked.
+    component, so a pair with too small a bound can't be linked. A pair that meets in several buckets is given in the
+    one of its first equal band.
     """
     import numpy as np
 
     own, block = np.asarray(table.column("own")), table.column("block").to_numpy()
     ids, n, comp, most = (table.column(c).to_numpy() for c in ("id", "n", "comp", "most"))
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, LENGTH)
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, LENGTH // ROWS)
     for r in np.flatnonzero(own):
         ok = (comp != comp[r]) & (100 * np.minimum(n, n[r]) >= numerator * np.maximum(n, n[r])) & (~own | (ids > ids[r]))
         ok &= (100 + numerator) * np.minimum(most, most[r]) >= numerator * (n + n[r])
         ok &= ((block == j) & (block[r] == i)) | ((block == i) & (block[r] == j))
         at = np.flatnonzero(ok)
-        yield r, at[(sig[at] == sig[r]).sum(1) >= ALIKE]
+        at = at[(sig[at] == sig[r]).sum(1) >= ALIKE]
+        yield r, at[bands[r][(bands[at] == bands[r]).argmax(1)] == key]
 
 
 def likely_members(rows: DataFrame, numerator: int) -> DataFrame:
@@ -227,7 +230,7 @@ def likely_members(rows: DataFrame, numerator: int) -> DataFrame:
         import pyarrow as pa
 
         ids, found = table.column("id").to_numpy(), np.zeros(table.num_rows, bool)
-        for r, at in _likely_partners(table, key[2].as_py(), key[3].as_py(), numerator):
+        for r, at in _likely_partners(table, key[0].as_py(), key[2].as_py(), key[3].as_py(), numerator):
             found[at] = True
             found[r] |= len(at) > 0
         return pa.table([pa.array(np.unique(ids[found]))], ["id"])
@@ -243,13 +246,13 @@ def close_pairs(rows: DataFrame, numerator: int) -> DataFrame:
         import pyarrow as pa
 
         ids, us, vs = table.column("id").to_numpy(), [], []
-        for r, at in _likely_partners(table, key[2].as_py(), key[3].as_py(), numerator):
+        for r, at in _likely_partners(table, key[0].as_py(), key[2].as_py(), key[3].as_py(), numerator):
             us.append(np.minimum(ids[at], ids[r]))
             vs.append(np.maximum(ids[at], ids[r]))
         u, v = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (us, vs))
         return pa.table([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return rows.groupBy("key", "size_class", "i", "j").applyInArrow(run, "u long, v long").distinct()
+    return rows.groupBy("key", "size_class", "i", "j").applyInArrow(run, "u long, v long")
 
 
 def foreign_overlap(texts: DataFrame, comps: DataFrame) -> DataFrame:
@@ -309,13 +312,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not held.filter(F.col("many") > LARGE_BUCKET).limit(1).count():
             break
 
-    open_ = held.join(props.select(F.col("id").alias("_i"), "n", "sig"), F.col("id") == F.col("_i"))
+    open_ = held.join(classes.select(F.col("id").alias("_i"), "n", "sig", "bands"), F.col("id") == F.col("_i"))
     ratio = numerator / 100
     sized = open_.withColumn("class", F.floor(F.log("n") / -F.log(F.lit(ratio)) + 1e-9).cast("int"))
-    sized = sized.withColumn("g", F.explode(F.array(F.lit(0), F.lit(1)))).select("key", (F.col("class") + F.col("g")).alias("size_class"), (F.col("g") == 0).alias("own"), "many", "id", "n", "comp", "sig")
+    sized = sized.withColumn("g", F.explode(F.array(F.lit(0), F.lit(1)))).select("key", (F.col("class") + F.col("g")).alias("size_class"), (F.col("g") == 0).alias("own"), "many", "id", "n", "comp", "sig", "bands")
     sized = sized.withColumn("blocks", F.ceil(F.col("many") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).select("key", "size_class", "i", "j", "own", "block", "id", "n", "comp", "sig")
+    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).select("key", "size_class", "i", "j", "own", "block", "id", "n", "comp", "sig", "bands")
     # Texts that share a long passage look alike and aren't: what a text shares with other components bounds its links.
     likely = settle(likely_members(dealt.withColumn("most", F.col("n")), numerator), "likely")
     comps = likely.join(open_.select(F.col("id").alias("_o"), "comp").distinct(), F.col("id") == F.col("_o")).select("id", "comp")
