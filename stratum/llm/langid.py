@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratum.llm.scratch import documents, settle
+from stratum.llm.scratch import documents, modest_batches
 from stratum.llm.workers import stream, tidy, worker_memo
 
 UNDETERMINED = "und"
@@ -108,6 +108,7 @@ def profiles(docs: DataFrame, train: Column, lang_col: str = "lang", text_col: s
             yield flush(lang)
         tidy()
 
+    modest_batches(docs.sparkSession)
     rows = docs.filter(train & F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{lang_col}`"), F.col(f"`{text_col}`"))
     sums = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     salted = sums.withColumn("salt", F.pmod(F.xxhash64("code"), F.lit(salts)))
@@ -158,6 +159,7 @@ def identify(docs: DataFrame, known: dict[str, list[int]], id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
         tidy()
 
+    modest_batches(docs.sparkSession)
     given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text"))
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return given.mapInArrow(label, f"{fields}, lang_pred string, score double")

@@ -24,8 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[app]
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches hold 1000 rows, unless the session says otherwise: 10,000 whole texts fill too much memory outside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def write_table(df: DataFrame, name: str) -> str:
     """Writes df below the shared folder and returns its path."""
+    modest_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/stratum/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return path
@@ -43,4 +51,5 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
