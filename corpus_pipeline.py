@@ -25,8 +25,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the smallest doc_id stays."""
-    return keep_one(docs)
+    """Of each group of documents linked by similarity 0.8 or more, the smallest doc_id stays."""
+    return keep_one(docs, numerator=80)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,9 @@ banding can see is lost between different components.
 
 from __future__ import annotations
 
+from functools import cache
+from math import comb
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +23,26 @@ from stratum.llm.workers import slices, tidy
 
 WORDS = 5
 LENGTH = 80  # signature
-ROWS = 4  # of a band: a pair at 0.85 misses all 20 bands with chance 4e-7
+MISSED, UNLIKE = 5e-7, 1e-7  # greatest chances that a pair at the threshold misses all bands, or fails the signature check
 LARGE_BUCKET = 64  # members of a bucket that calls for another turn of stars before pairs are compared
 STAR_TURNS = 3
-ALIKE = 52  # equal signature bytes of a pair worth a full check: 5 standard deviations below 0.85 * 80
+
+
+def band_rows(numerator: int) -> int:
+    """Slots of a band: the most with which a pair at the threshold shares some band, but for a chance of MISSED."""
+    return max((r for r in range(1, LENGTH + 1) if (1 - (numerator / 100) ** r) ** (LENGTH // r) <= MISSED), default=1)
+
+
+@cache
+def alike(numerator: int) -> int:
+    """Equal signature bytes of a pair worth a full check: a pair at the threshold has fewer with a chance up to UNLIKE."""
+    ratio, fewer, k = numerator / 100, 0.0, 0
+    while k < LENGTH:
+        fewer += comb(LENGTH, k) * ratio**k * (1 - ratio) ** (LENGTH - k)
+        if fewer > UNLIKE:
+            break
+        k += 1
+    return k
 
 
 def shingles(texts: list):
@@ -107,8 +126,9 @@ def _chunks(texts: list, size: int = 1_000_000):
         yield begin, len(texts)
 
 
-def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, digest, bands array<long>, sig binary) of each row; empty sets have null digest, bands and sig."""
+def sign(docs: DataFrame, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n, digest, bands array<long>, sig binary) of each row, in bands of ``rows``; empty sets have null digest, bands and sig."""
+    n_bands = LENGTH // rows
 
     def run(batches):
         import hashlib
@@ -123,10 +143,10 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 n = np.bincount(doc, minlength=b - a)
                 sig = signatures(doc, h, b - a)
                 mixed = mix64(sig)
-                keys = np.zeros((b - a, LENGTH // ROWS), np.uint64)
-                for r in range(ROWS):
-                    keys = mix64(keys * np.uint64(0x9FB21C651E98DF25) + mixed[:, r::ROWS])
-                keys = mix64(keys + np.arange(LENGTH // ROWS, dtype=np.uint64)).astype(np.int64)
+                keys = np.zeros((b - a, n_bands), np.uint64)
+                for r in range(rows):
+                    keys = mix64(keys * np.uint64(0x9FB21C651E98DF25) + mixed[:, r : n_bands * rows : rows])
+                keys = mix64(keys + np.arange(n_bands, dtype=np.uint64)).astype(np.int64)
                 low = (mixed >> np.uint64(56)).astype(np.uint8)
                 cut = np.concatenate(([0], np.cumsum(n)))
                 full = [bool(x) for x in n]
@@ -137,8 +157,8 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 )
         tidy()
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`"))
-    return rows.mapInArrow(run, "id long, n long, digest binary, bands array<long>, sig binary")
+    given = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`"))
+    return given.mapInArrow(run, "id long, n long, digest binary, bands array<long>, sig binary")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, numerator: int) -> DataFrame:
@@ -192,11 +212,11 @@ def _centres(held: DataFrame, turn: int) -> DataFrame:
 
 
 def _likely(left: str, right: str, numerator: int):
-    """Whether two classes can be linked: by set sizes (exactly), and by equal signature bytes (ALIKE of them)."""
+    """Whether two classes can be linked: by set sizes (exactly), and by equal signature bytes."""
     sizes = F.least(f"{left}.n", f"{right}.n") * 100 >= F.greatest(f"{left}.n", f"{right}.n") * numerator
     a, b = F.hex(f"{left}.sig"), F.hex(f"{right}.sig")
     same = F.aggregate(F.sequence(F.lit(0), F.lit(LENGTH - 1)), F.lit(0), lambda s, i: s + F.when(F.substring(a, 2 * i + 1, F.lit(2)) == F.substring(b, 2 * i + 1, F.lit(2)), 1).otherwise(0))
-    return sizes & (same >= ALIKE)
+    return sizes & (same >= alike(numerator))
 
 
 def _likely_partners(table, key: int, i: int, j: int, numerator: int):
@@ -212,13 +232,13 @@ def _likely_partners(table, key: int, i: int, j: int, numerator: int):
     own, block = np.asarray(table.column("own")), table.column("block").to_numpy()
     ids, n, comp, most = (table.column(c).to_numpy() for c in ("id", "n", "comp", "most"))
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, LENGTH)
-    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, LENGTH // ROWS)
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(sig), -1)
     for r in np.flatnonzero(own):
         ok = (comp != comp[r]) & (100 * np.minimum(n, n[r]) >= numerator * np.maximum(n, n[r])) & (~own | (ids > ids[r]))
         ok &= (100 + numerator) * np.minimum(most, most[r]) >= numerator * (n + n[r])
         ok &= ((block == j) & (block[r] == i)) | ((block == i) & (block[r] == j))
         at = np.flatnonzero(ok)
-        at = at[(sig[at] == sig[r]).sum(1) >= ALIKE]
+        at = at[(sig[at] == sig[r]).sum(1) >= alike(numerator)]
         yield r, at[bands[r][(bands[at] == bands[r]).argmax(1)] == key]
 
 
@@ -283,7 +303,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     set's size; a row with a null id is linked with nothing, has a null component and is kept. An empty table gives
     an empty result. Columns other than id and text are not read. ``block`` bounds the rows a task compares at once.
     """
-    signed = settle(sign(docs, id_col, text_col), "signed")
+    signed = settle(sign(docs, band_rows(numerator), id_col, text_col), "signed")
     able = signed.filter("id is not null and n > 0")
     classes = able.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = settle(classes, "classes")

@@ -1,8 +1,12 @@
 """The pipeline against a plain version of its stages, on the smallest table."""
 
+import re
 from collections import Counter
+from itertools import combinations
+from math import comb
 
 import corpus_pipeline
+from stratum.llm import minhash
 from stratum.llm.scratch import settle
 
 DATA = "/root/testdata/sf0.001"
@@ -24,3 +28,44 @@ def test_stages_keep_columns_and_decide(spark):
     mixed = Counter(r["doc_id"] for r in seen["mixing"].collect())
     assert set(mixed) <= {r["doc_id"] for r in seen["near dedup"].collect()} and max(mixed.values()) <= 2
     assert Counter(r["doc_id"] for r in seen["packing"].filter("piece = 0").collect()) == mixed
+
+
+def shingle_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def smallest_of_groups(rows):
+    """The ids that stay of (id, text), ids unique: pairs at 0.8 or more are linked."""
+    sets, root = {i: shingle_set(t) for i, t in rows}, {i: i for i, _ in rows}
+    for a, b in combinations(sets, 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+    return sorted(i for i, r in root.items() if i == r)
+
+
+def test_near_dedup_links_from_080(spark):
+    rows = []
+    for k in range(30):
+        whole, short = [f"w{k}x{i}" for i in range(204)], [f"s{k}x{i}" for i in range(49)]
+        changed = lambda words, at: " ".join("other" if i in at else w for i, w in enumerate(words))
+        texts = [changed(whole, ()), changed(whole, (20, 60, 100, 140)), changed(whole, (20, 60, 100, 140, 180, 190)), changed(short, ()), changed(short, (24,)), changed(short, (12, 36))]
+        rows += [(10 * k + i, t) for i, t in enumerate(texts)]
+    ratio = lambda a, b: len(shingle_set(a) & shingle_set(b)) / len(shingle_set(a) | shingle_set(b))
+    assert 0.8 < ratio(rows[0][1], rows[1][1]) < 0.85 and ratio(rows[3][1], rows[4][1]) == 0.8 and ratio(rows[3][1], rows[5][1]) < 0.8
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, DATA).collect()) == smallest_of_groups(rows)
+
+
+def test_near_dedup_of_the_smallest_table(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").dropDuplicates(["doc_id"])
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, DATA).collect()) == smallest_of_groups(rows)
+
+
+def test_few_links_at_the_threshold_are_missed():
+    for numerator in (80, 85):
+        t, rows = numerator / 100, minhash.band_rows(numerator)
+        assert (1 - t**rows) ** (minhash.LENGTH // rows) < 1e-6
+        assert sum(comb(minhash.LENGTH, k) * t**k * (1 - t) ** (minhash.LENGTH - k) for k in range(minhash.alike(numerator))) < 1e-6
