@@ -47,17 +47,13 @@ def find_runs(data, length: int):
     stop = np.concatenate((start[1:], [len(least)]))
     anchor = least[start]
     inside = stop - 1 + length
-    # A run's own anchor: k-grams of that hash among those of its windows.
-    run = np.searchsorted(start, np.arange(len(gram)), side="right") - 1
-    times = np.zeros(len(start), np.int64)
+    # A run's own anchor: k-grams of that hash among those of its windows, counted in the order of hash and place.
     hits = np.flatnonzero(_slide(np.concatenate((np.zeros(length - GRAM, np.uint64), least, np.zeros(length - GRAM, np.uint64))), length - GRAM + 1, np.maximum) == gram)
-    for back in range(3):  # a run's k-grams reach into the runs after it
-        r = run[hits] - back
-        ok = r >= 0
-        ok[ok] = (anchor[r[ok]] == gram[hits[ok]]) & (hits[ok] + GRAM <= inside[r[ok]])
-        np.add.at(times, r[ok], 1)
-    long = stop - start > length - GRAM + 1  # more windows than one k-gram can rule
-    return start, stop - start, anchor, span(start, inside), np.where(long, np.maximum(times, 2), np.maximum(times, 1))
+    hashes, rank = np.unique(gram[hits], return_inverse=True)
+    placed = np.sort(rank * len(data) + hits)
+    own = np.searchsorted(hashes, anchor) * len(data)
+    times = np.searchsorted(placed, own + inside - GRAM, side="right") - np.searchsorted(placed, own + start)
+    return start, stop - start, anchor, span(start, inside), times
 
 
 def runs_of(texts: DataFrame, length: int) -> DataFrame:

@@ -57,6 +57,29 @@ def test_repeats_with_divided_anchors(spark, monkeypatch):
     assert cleaned(docs) == expected
 
 
+def test_runs_count_their_anchor_in_their_whole_span():
+    rng = random.Random(5)
+    for d in (40, 80, 120, 168):
+        for _ in range(600):
+            unit = rng.randbytes(d)
+            data = np.frombuffer(rng.randbytes(300) + (unit * 9)[: 200 + d] + rng.randbytes(300), np.uint8)
+            gram = repeats.Spans(data)(np.arange(len(data) - repeats.GRAM + 1), np.arange(repeats.GRAM, len(data) + 1))
+            for start, windows, anchor, _, times in zip(*repeats.find_runs(data, 200), strict=True):
+                assert times == (gram[start : start + windows + 200 - repeats.GRAM] == anchor).sum()
+
+
+def test_short_periodic_passages(spark):
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    rows = []
+    for d in (40, 80, 120):
+        for _ in range(700):
+            unit = text(d)
+            rows.append((len(rows), text(300) + (unit * 7)[: 200 + d] + text(300)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert cleaned(docs) == plain([{"doc_id": i, "text": t} for i, t in rows], 200)
+
+
 def test_scores(small, nothing):
     rows = small.collect()
     split = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
