@@ -3,8 +3,9 @@
 Documents with equal shingle sets form a class, and only a class's smallest id goes on. In a bucket of the banding,
 every member is first checked against one centre, the member with most bucket mates, and while large buckets stay open
 against others, which joins large groups of copies in a number of checks linear in their size. Buckets whose members are
-then still in several components have all their remaining pairs across components compared by signature, inside neighbouring size classes, and the likely ones checked on full sets. No link that the
-banding can see is lost between different components.
+then still in several components have all their remaining pairs across components compared by signature, inside neighbouring size classes, and the likely ones checked on full sets. Between different
+components, a link that the banding can see is lost only if the pair's signatures agree in fewer than alike(numerator) bytes: with
+chance 5e-8 for a pair at 0.85, 3e-8 at 0.8 (binomial over the slots, byte collisions included).
 """
 
 from __future__ import annotations
