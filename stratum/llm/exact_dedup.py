@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.scratch import documents, settle
+from stratum.llm.columns import col, opened, whole
+from stratum.llm.scratch import documents, settle, temporary
 
 BLOCK = 32768  # bits in one block of bitmap_construct_agg
 
@@ -36,58 +37,57 @@ def filter_bits(rows: int, bits_per_row: int, max_filter_bits: int) -> int:
 
 def repeated_positions(digests: DataFrame, bits: int, hashes: int) -> DataFrame:
     """(block, bitmap) of the Bloom positions that two rows or more touch."""
-    pos = digests.select(F.explode(F.array(*_positions(F.col("_digest"), bits, hashes))).alias("p"))
+    pos = digests.select(F.explode(F.array(*_positions(F.col("digest"), bits, hashes))).alias("p"))
     twice = pos.groupBy("p").agg(F.count("*").alias("n")).filter("n > 1")
-    return twice.groupBy(F.expr(f"p div {BLOCK}").alias("_block")).agg(F.bitmap_construct_agg(F.expr(f"p % {BLOCK}")).alias("_bits"))
+    return twice.groupBy(F.expr(f"p div {BLOCK}").alias("block")).agg(F.bitmap_construct_agg(F.expr(f"p % {BLOCK}")).alias("bits"))
 
 
-def _bit(bits: Column, offset: Column) -> Column:
+def bit_set(bits: Column, offset: Column) -> Column:
     byte = F.conv(F.hex(F.substring(bits, (offset / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return F.coalesce(F.getbit(byte, (offset % 8).cast("int")) == 1, F.lit(False))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Column | None = None, carry: list[str] | None = None, bits_per_row: int = 32, hashes: int = 2, max_filter_bits: int = 1 << 28) -> DataFrame:
+def _judged(docs: DataFrame, row: Column, id_: Column, digest: Column, bits_per_row: int = 32, hashes: int = 2, max_filter_bits: int = 1 << 28) -> DataFrame:
+    """(row, keep_id, group_size, kept, digest) of each row of docs, whose columns travel inside the struct ``row``."""
+    base = docs.select(row, id_.alias("id"), digest.alias("digest"))
+    bits = filter_bits(docs.count(), bits_per_row, max_filter_bits)
+    with temporary() as tables:
+        repeated = tables.keep(settle(repeated_positions(base.select("digest"), bits, hashes), "bloom"))
+        marked, maybe = base, F.lit(True)
+        for i, p in enumerate(_positions(F.col("digest"), bits, hashes)):
+            side = F.broadcast(repeated.select(F.col("block").alias(f"block{i}"), F.col("bits").alias(f"bits{i}")))  # at most max_filter_bits / 8 bytes
+            marked = marked.withColumn(f"p{i}", p).join(side, F.expr(f"p{i} div {BLOCK}") == F.col(f"block{i}"), "left")
+            maybe = maybe & bit_set(F.col(f"bits{i}"), F.expr(f"p{i} % {BLOCK}"))
+        marked = marked.select("row", "id", "digest", maybe.alias("maybe"))
+        some = tables.keep(settle(marked.filter("maybe").select("row", "id", "digest", F.monotonically_increasing_id().alias("tag")), "maybe"))
+    single = marked.filter("not maybe").select("row", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
+    by_id = some.groupBy("digest", "id").agg(F.count("*").alias("n"), F.min("tag").alias("t"))
+    low = F.coalesce(F.struct(F.col("id").isNotNull().alias("has"), F.col("id").alias("id")))
+    groups = by_id.groupBy("digest").agg(F.sum("n").alias("group_size"), F.max("id").alias("keep_id"), F.max_by("t", low).alias("stay"))
+    # The key is made anew, so both sides of the join are exchanged and Spark may split a digest with very many rows.
+    groups = groups.select(F.concat(F.col("digest"), F.lit(b"")).alias("key"), "group_size", "keep_id", "stay")
+    grouped = some.join(groups, F.col("digest") == F.col("key")).select("row", "keep_id", "group_size", (F.col("tag") == F.col("stay")).alias("kept"), "digest")
+    return single.unionByName(grouped)
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Column | None = None, carry: list[str] | None = None, **filter_options) -> DataFrame:
     """docs' ``carry`` columns (default: all) with keep_id, group_size, kept and text_sha256.
 
     Rows are equal when their digests are (default: SHA-256 of the text, null as empty). Of equal rows the one with
     the largest id stays; a null id is smallest; among rows that repeat an id just one stays. An empty table gives
-    an empty result. Output columns replace input columns of the same names; other extra columns pass unchanged.
-    ``max_filter_bits`` (32 MB) bounds what is broadcast at any input size.
+    an empty result. Output columns replace input columns of the same names; all other columns pass unchanged, whatever
+    they are called. ``bits_per_row``, ``hashes`` and ``max_filter_bits`` (32 MB, which bounds what is broadcast at any
+    input size) shape the filter and never the result.
     """
-    carry = [c for c in (carry or docs.columns) if c not in ("keep_id", "group_size", "kept", "text_sha256")]
-    own = [F.col(f"`{c}`") for c in carry]
-    digest = text_digest(F.col(text_col)) if digest is None else digest
-    base = docs.select(*own, F.col(f"`{id_col}`").alias("_id"), digest.alias("_digest"))
-    bits = filter_bits(docs.count(), bits_per_row, max_filter_bits)
-    repeated = settle(repeated_positions(base.select("_digest"), bits, hashes), "bloom")
-
-    marked = base
-    tests = []
-    for i, p in enumerate(_positions(F.col("_digest"), bits, hashes)):
-        side = F.broadcast(repeated.select(F.col("_block").alias(f"_b{i}"), F.col("_bits").alias(f"_bits{i}")))  # at most max_filter_bits / 8 bytes
-        marked = marked.withColumn(f"_p{i}", p).join(side, F.expr(f"_p{i} div {BLOCK}") == F.col(f"_b{i}"), "left")
-        tests.append(_bit(F.col(f"_bits{i}"), F.expr(f"_p{i} % {BLOCK}")))
-    maybe = tests[0]
-    for t in tests[1:]:
-        maybe = maybe & t
-    marked = marked.select(*own, "_id", "_digest", maybe.alias("_maybe"))
-
-    hexed = F.lower(F.hex("_digest")).alias("text_sha256")
-    single = marked.filter(~F.col("_maybe")).select(*own, F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), hexed)
-    some = settle(marked.filter("_maybe").select(*own, "_id", "_digest", F.monotonically_increasing_id().alias("_tag")), "maybe")
-    by_id = some.groupBy("_digest", "_id").agg(F.count("*").alias("n"), F.min("_tag").alias("t"))
-    low = F.coalesce(F.struct(F.col("_id").isNotNull().alias("has"), F.col("_id").alias("id")))
-    groups = by_id.groupBy("_digest").agg(F.sum("n").alias("group_size"), F.max("_id").alias("keep_id"), F.max_by("t", low).alias("_stay"))
-    # The key is made anew, so both sides of the join are exchanged and Spark may split a digest with very many rows.
-    groups = groups.select(F.concat(F.col("_digest"), F.lit(b"")).alias("_key"), "group_size", "keep_id", "_stay")
-    grouped = some.join(groups, F.col("_digest") == F.col("_key")).select(*own, "keep_id", "group_size", (F.col("_tag") == F.col("_stay")).alias("kept"), hexed)
-    return single.unionByName(grouped)
+    docs_ = docs.select(*map(col, carry)) if carry else docs
+    row = whole(docs_, ("keep_id", "group_size", "kept", "text_sha256"))
+    out = _judged(docs, row, col(id_col), text_digest(col(text_col)) if digest is None else digest, **filter_options)
+    return opened(out, F.col("keep_id"), F.col("group_size"), F.col("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **filter_options) -> DataFrame:
     """docs without the rows that exact_dedup drops, in docs' own columns."""
-    out = exact_dedup(docs, **options)
-    return out.filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return opened(_judged(docs, whole(docs), col(id_col), text_digest(col(text_col)), **filter_options).filter("kept"))
 
 
 def op10_exact_dedup(spark, sf_dir):

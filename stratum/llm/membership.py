@@ -5,29 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.exact_dedup import BLOCK, _bit, filter_bits
+from stratum.llm.exact_dedup import BLOCK, bit_set, filter_bits
 from stratum.llm.scratch import settle
 
 HASHES = 2
 
 
-def _position(id_: Column, bits: int, i: int) -> Column:
-    return F.xxhash64(id_, F.lit(i)).bitwiseAND(F.lit(bits - 1))
+def _position(ids: list[Column], bits: int, i: int) -> Column:
+    return F.xxhash64(*ids, F.lit(i)).bitwiseAND(F.lit(bits - 1))
 
 
-def flag_members(rows: DataFrame, id_col: str, ids: DataFrame, flag: str, max_filter_bits: int = 1 << 28) -> DataFrame:
-    """rows with a boolean ``flag``: false only where rows' id is surely not among ids (its one column).
+def flag_members(rows: DataFrame, keys: list[str], ids: DataFrame, flag: str, max_filter_bits: int = 1 << 28) -> DataFrame:
+    """rows with a boolean ``flag``: false only where rows' keys are surely not among ids (its columns, in that order).
 
-    The filter that is broadcast has at most max_filter_bits, whatever the number of ids; a full one flags more rows.
+    rows is an operator's own frame, without columns called member_*. The filter that is broadcast has at most
+    max_filter_bits (32 MB), whatever the number of ids, once for each of two hashes; a full one flags more rows.
     """
-    (own,) = ids.columns
     bits = filter_bits(ids.count(), 32, max_filter_bits)
-    spots = ids.select(F.explode(F.array(*[_position(F.col(own), bits, i) for i in range(HASHES)])).alias("p"))
-    blocks = settle(spots.groupBy(F.expr(f"p div {BLOCK}").alias("_block")).agg(F.bitmap_construct_agg(F.expr(f"p % {BLOCK}")).alias("_bits")), "members")
-    cols = [F.col(f"`{c}`") for c in rows.columns]
+    spots = ids.select(F.explode(F.array(*[_position([F.col(c) for c in ids.columns], bits, i) for i in range(HASHES)])).alias("p"))
+    blocks = settle(spots.groupBy(F.expr(f"p div {BLOCK}").alias("block")).agg(F.bitmap_construct_agg(F.expr(f"p % {BLOCK}")).alias("bits")), "members")
     out, both = rows, F.lit(True)
     for i in range(HASHES):
-        side = F.broadcast(blocks.select(F.col("_block").alias(f"_b{i}"), F.col("_bits").alias(f"_bits{i}")))
-        out = out.withColumn(f"_p{i}", _position(F.col(f"`{id_col}`"), bits, i)).join(side, F.expr(f"_p{i} div {BLOCK}") == F.col(f"_b{i}"), "left")
-        both = both & _bit(F.col(f"_bits{i}"), F.expr(f"_p{i} % {BLOCK}"))
-    return out.select(*cols, both.alias(flag))
+        side = F.broadcast(blocks.select(F.col("block").alias(f"member_block{i}"), F.col("bits").alias(f"member_bits{i}")))
+        out = out.withColumn(f"member_at{i}", _position([F.col(k) for k in keys], bits, i)).join(side, F.expr(f"member_at{i} div {BLOCK}") == F.col(f"member_block{i}"), "left")
+        both = both & bit_set(F.col(f"member_bits{i}"), F.expr(f"member_at{i} % {BLOCK}"))
+    return out.select(*rows.columns, both.alias(flag))
