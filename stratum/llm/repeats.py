@@ -3,9 +3,9 @@
 A byte goes if some string of ``length`` bytes that covers it also starts anywhere else. Such strings agree in the
 least hash of the k-grams inside them, so a document falls into runs of neighbouring windows with the same least hash,
 the run's anchor. Windows can be equal only under one anchor, and runs whose anchor occurs once are done with. Equal runs
-repeat as a whole. The texts of the others, one for each distinct run, meet by anchor in bounded groups, where all
-their suffixes are sorted by a difference cover (suffixes.py) and neighbours with equal prefixes are marked. Anchors with
-too many distinct texts for one task take the same windows one by one, by fingerprint, over all tasks.
+(by 128 bits of blake2b) repeat as a whole. The texts of the others, one for each distinct run, meet by anchor in bounded
+groups, where all their suffixes are sorted by a difference cover (suffixes.py) and neighbours are compared byte by byte.
+Anchors with too many distinct texts for one task take the same windows one by one, by 128 bits of blake2b, over all tasks.
 """
 
 from __future__ import annotations
@@ -14,14 +14,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stratum.llm.columns import col
 from stratum.llm.membership import flag_members
-from stratum.llm.scratch import documents, settle
+from stratum.llm.scratch import documents, settle, temporary
 from stratum.llm.suffixes import MOST, suffix_order
-from stratum.llm.words import Spans
+from stratum.llm.words import eights, mix64
 from stratum.llm.workers import slices, stream, tidy
 
 GRAM = 32  # bytes of an anchor
 HOT_TEXTS, HOT_BYTES = 500, 1_000_000  # beyond these an anchor is divided
+STRETCH = 2_000_000  # windows of a long text that are worked through at once; a run that is cut there only costs work
+DOC = ("doc", "doc2")  # 128 bits
 
 
 def _slide(values, width: int, pick):
@@ -36,12 +39,22 @@ def _slide(values, width: int, pick):
     return pick(tail[: len(values) - width + 1], head[width - 1 : len(values)])
 
 
+def gram_hashes(data):
+    """64-bit hashes of all strings of GRAM bytes, by doubling. They only name anchors: a collision costs work."""
+    import numpy as np
+
+    h = eights(data)[: len(data) - 7] * np.uint64(0x9E3779B97F4A7C15)
+    for size, factor in ((8, 0xBF58476D1CE4E5B9), (16, 0x94D049BB133111EB)):
+        h = h ^ (h >> np.uint64(29))
+        h = h[:-size] * np.uint64(factor) + h[size:]
+    return mix64(h)
+
+
 def find_runs(data, length: int):
-    """(start, windows, anchor, text hash, occurrences of the anchor's hash inside) of each run of a text's windows."""
+    """(start, windows, anchor, occurrences of the anchor's hash inside) of each run of a text's windows."""
     import numpy as np
 
-    span = Spans(data)
-    gram = span(np.arange(len(data) - GRAM + 1), np.arange(GRAM, len(data) + 1))
+    gram = gram_hashes(data)
     least = _slide(gram, length - GRAM + 1, np.minimum)
     start = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
     stop = np.concatenate((start[1:], [len(least)]))
@@ -53,31 +66,36 @@ def find_runs(data, length: int):
     placed = np.sort(rank * len(data) + hits)
     own = np.searchsorted(hashes, anchor) * len(data)
     times = np.searchsorted(placed, own + inside - GRAM, side="right") - np.searchsorted(placed, own + start)
-    return start, stop - start, anchor, span(start, inside), times
+    return start, stop - start, anchor, times
 
 
 def runs_of(texts: DataFrame, length: int) -> DataFrame:
-    """(doc, start, windows, a, c, times) for the rows (doc, text) of texts."""
+    """(doc, doc2, start, windows, a, c1, c2, times) for the rows (doc, doc2, text) of texts; c1 and c2 name the run's text."""
 
     def run(batches):
+        import hashlib
+
         import numpy as np
         import pyarrow as pa
 
+        names = ["doc", "doc2", "start", "windows", "a", "c1", "c2", "times"]
         for batch in batches:
             parts, size = [], 0
 
             def flush(parts):
-                cols = [np.concatenate([p[i] for p in parts]) for i in range(6)]
-                kinds = ("i8", "i4", "i4", "u8", "u8", "i4")
-                arrays = [pa.array(c.astype(k).view("i8") if k == "u8" else c.astype(k)) for c, k in zip(cols, kinds, strict=True)]
-                return pa.RecordBatch.from_arrays(arrays, ["doc", "start", "windows", "a", "c", "times"])
-
-            for doc, text in zip(stream(batch.column(0)), stream(batch.column(1)), strict=True):
-                data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8) if text else ()
-                if len(data) >= length:
-                    found = find_runs(data, length)
-                    parts.append((np.full(len(found[0]), doc, "i8"), *found))
-                    size += len(found[0])
+                cols = [np.concatenate([p[i] for p in parts]) for i in range(len(names))]
+                kinds = ("i8", "i8", "i8", "i4", "u8", "i8", "i8", "i4")
+                return pa.RecordBatch.from_arrays([pa.array(c.astype(k).view("i8") if k == "u8" else c.astype(k)) for c, k in zip(cols, kinds, strict=True)], names)
+
+            for doc, doc2, text in zip(stream(batch.column(0)), stream(batch.column(1)), stream(batch.column(2)), strict=True):
+                raw = text.encode("utf-8", "surrogatepass")
+                for at in range(0, len(raw) - length + 1, STRETCH):
+                    part = raw[at : at + STRETCH + length - 1]
+                    start, windows, anchor, times = find_runs(np.frombuffer(part, np.uint8), length)
+                    digests = b"".join(hashlib.blake2b(part[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), (start + windows + length - 1).tolist(), strict=True))
+                    c = np.frombuffer(digests, "<i8").reshape(-1, 2)
+                    parts.append((np.full(len(start), doc, "i8"), np.full(len(start), doc2, "i8"), start + at, windows, anchor, c[:, 0], c[:, 1], times))
+                    size += len(start)
                     if size > 100_000:
                         yield flush(parts)
                         parts, size = [], 0
@@ -85,7 +103,17 @@ def runs_of(texts: DataFrame, length: int) -> DataFrame:
                 yield flush(parts)
         tidy()
 
-    return texts.mapInArrow(run, "doc long, start int, windows int, a long, c long, times int")
+    return texts.mapInArrow(run, "doc long, doc2 long, start long, windows int, a long, c1 long, c2 long, times int")
+
+
+def equal_strings(data, left, right, length: int):
+    """Which of the pairs of places in data start equal strings of ``length`` (8 or more) bytes, all inside data."""
+    import numpy as np
+
+    view, alive = eights(data), np.arange(len(left))
+    for k in [*range(0, length - 7, 8), length - 8]:
+        alive = alive[view[left[alive] + k] == view[right[alive] + k]]
+    return alive
 
 
 def _marks(marked, text_of, start_of, rids):
@@ -124,8 +152,7 @@ def repeated_windows(texts: DataFrame, length: int, buckets: int) -> DataFrame:
                 text_of = np.searchsorted(ends, np.arange(len(data)), side="right")
                 whole = np.arange(len(data)) + length < ends[text_of]
                 order = order[whole[order]]
-                prefix = Spans(data)(order, order + length)
-                same = np.flatnonzero(prefix[1:] == prefix[:-1])
+                same = equal_strings(data, order[:-1], order[1:], length)
                 marked = np.zeros(len(data), bool)
                 marked[order[same]] = marked[order[same + 1]] = True
                 out.append(_marks(marked, text_of, starts, rids[rows]))
@@ -136,27 +163,28 @@ def repeated_windows(texts: DataFrame, length: int, buckets: int) -> DataFrame:
     return texts.withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(buckets))).groupBy("bucket").applyInArrow(sort, "rid long, from int, to int")
 
 
-def repeated_fingerprints(texts: DataFrame, length: int) -> DataFrame:
-    """The same as repeated_windows, from one fingerprint per window, for anchors with any number of texts."""
+def repeated_one_by_one(texts: DataFrame, length: int) -> DataFrame:
+    """The same as repeated_windows, from 128 bits of blake2b for each window, for anchors with any number of texts."""
 
     def spread(batches):
+        import hashlib
+
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for rid, raw in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                span = Spans(np.frombuffer(raw, np.uint8))
-                at = np.arange(len(raw) - length + 1)
-                for s in range(0, len(at), 50_000):
-                    a = at[s : s + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(span(a, a + length).view("i8")), pa.array(np.full(len(a), rid, "i8")), pa.array(a.astype("i4"))], ["fp", "rid", "from"])
-
-    each = settle(texts.mapInArrow(spread, "fp long, rid long, from int"), "fingerprints")
-    twice = each.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select(F.expr("fp ^ cast(0 as bigint)").alias("_k"))
-    hits = each.join(twice, F.col("fp") == F.col("_k")).select("rid", "from")
+            for rid, raw in zip(stream(batch.column("rid")), stream(batch.column("text")), strict=True):
+                for s in range(0, len(raw) - length + 1, 50_000):
+                    a = np.arange(s, min(s + 50_000, len(raw) - length + 1))
+                    d = np.frombuffer(b"".join(hashlib.blake2b(raw[i : i + length], digest_size=16).digest() for i in a.tolist()), "<i8").reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(np.full(len(a), rid, "i8")), pa.array(a.astype("i4"))], ["d1", "d2", "rid", "from"])
+
+    each = settle(texts.mapInArrow(spread, "d1 long, d2 long, rid long, from int"), "windows")
+    twice = each.groupBy("d1", "d2").agg(F.count("*").alias("n")).filter("n > 1")
+    hits = each.join(_remade(twice, "d1", "d2"), (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2"))).select("rid", "from")
     # Neighbouring windows of a text become one row.
     island = F.col("from") - F.row_number().over(W.partitionBy("rid").orderBy("from"))
-    return hits.withColumn("_island", island).groupBy("rid", "_island").agg(F.min("from").alias("from"), F.max("from").alias("to")).select("rid", "from", "to")
+    return hits.withColumn("island", island).groupBy("rid", "island").agg(F.min("from").alias("from"), F.max("from").alias("to")).select("rid", "from", "to")
 
 
 def _remade(rows: DataFrame, *keys: str) -> DataFrame:
@@ -164,24 +192,30 @@ def _remade(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*[F.expr(f"{k} ^ cast(0 as bigint)").alias(f"_{k}") for k in keys], *[c for c in rows.columns if c not in keys])
 
 
+def _same(*keys: str):
+    on = F.lit(True)
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"_{k}"))
+    return on
+
+
 def removed_spans(texts: DataFrame, length: int) -> DataFrame:
-    """(doc, spans array<struct<from, to>>): bytes of the rows (doc, text) that go, as stretches that may overlap."""
+    """(doc, doc2, spans array<struct<from, to>>): bytes of the rows (doc, doc2, text) that go, as stretches that may overlap."""
     runs = settle(runs_of(texts, length), "runs")
     again = runs.groupBy("a").agg(F.sum("times").alias("n")).filter("n > 1").select("a")
     again = settle(again, "anchors")
-    some = flag_members(runs, "a", again, "_some").filter("_some").drop("_some")
-    some = settle(some.withColumn("rid", F.xxhash64("doc", "start")), "some-runs")
+    some = settle(flag_members(runs, ["a"], again, "some").filter("some").drop("some"), "some-runs")
 
-    kinds = some.groupBy("a", "c").agg(F.count("*").alias("runs"), F.min("rid").alias("rid"), F.max("times").alias("times"), F.max("windows").alias("windows"))
+    # One row for each distinct run of an anchor; equal ones are of one length.
+    kinds = some.groupBy("a", "c1", "c2").agg(F.count("*").alias("runs"), F.min(F.struct("doc", "doc2", "start")).alias("at"), F.max("times").alias("times"), F.max("windows").alias("windows"))
     kinds = settle(kinds, "run-kinds")
     anchors = kinds.groupBy("a").agg(F.count("*").alias("kinds"), F.sum(F.col("windows") + length - 1).alias("bytes"))
-    anchors = anchors.select(F.expr("a ^ cast(0 as bigint)").alias("_a"), "kinds", "bytes")
-    open_ = kinds.join(anchors, F.col("a") == F.col("_a")).filter("kinds > 1 or (runs = 1 and times > 1)")
-    open_ = open_.select("rid", (F.col("runs") == 1).alias("alone"), ((F.col("kinds") > HOT_TEXTS) | (F.col("bytes") > HOT_BYTES)).alias("hot"), "bytes")
-    wanted = settle(some.join(_remade(open_, "rid"), F.col("rid") == F.col("_rid")).select("doc", "start", "windows", "a", "rid", "alone", "hot").dropDuplicates(["rid"]), "wanted")
+    open_ = kinds.join(_remade(anchors, "a"), _same("a")).filter("kinds > 1 or (runs = 1 and times > 1)")
+    hot = (F.col("kinds") > HOT_TEXTS) | (F.col("bytes") > HOT_BYTES)
+    wanted = settle(open_.select("at.*", "windows", "a", (F.col("runs") == 1).alias("alone"), hot.alias("hot"), F.monotonically_increasing_id().alias("rid")), "wanted")
 
-    whole = some.join(_remade(kinds.filter("runs > 1").select("a", "c"), "a", "c"), (F.col("a") == F.col("_a")) & (F.col("c") == F.col("_c")))
-    whole = whole.select("doc", F.col("start").alias("from"), (F.col("start") + F.col("windows") + length - 1).alias("to"))
+    whole = some.join(_remade(kinds.filter("runs > 1").select("a", "c1", "c2"), "a", "c1", "c2"), _same("a", "c1", "c2"))
+    whole = whole.select(*DOC, F.col("start").alias("from"), (F.col("start") + F.col("windows") + length - 1).alias("to"))
 
     def cut(batches):
         import pyarrow as pa
@@ -191,21 +225,32 @@ def removed_spans(texts: DataFrame, length: int) -> DataFrame:
             for text, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 for x in items:
-                    for col, v in zip(cols, (x["rid"], x["a"], x["hot"], data[x["start"] : x["start"] + x["windows"] + length - 1]), strict=True):
-                        col.append(v)
+                    for own, v in zip(cols, (x["rid"], x["a"], x["hot"], data[x["start"] : x["start"] + x["windows"] + length - 1]), strict=True):
+                        own.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["rid", "a", "hot", "text"])
 
-    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("rid", "a", "hot", "start", "windows")).alias("items"))  # as many as a document has runs
-    near = flag_members(texts, "doc", wanted.select("doc").distinct(), "_some").filter("_some").select("doc", "text")
-    parts = near.dropDuplicates(["doc"]).join(_remade(lists, "doc"), F.col("doc") == F.col("_doc")).select("text", "items").mapInArrow(cut, "rid long, a long, hot boolean, text binary")
+    lists = wanted.groupBy(*DOC).agg(F.collect_list(F.struct("rid", "a", "hot", "start", "windows")).alias("items"))  # as many as a document has runs
+    near = flag_members(texts, list(DOC), wanted.select(*DOC).distinct(), "some").filter("some").select(*DOC, "text")
+    parts = near.dropDuplicates(list(DOC)).join(_remade(lists, *DOC), _same(*DOC)).select("text", "items").mapInArrow(cut, "rid long, a long, hot boolean, text binary")
     parts = settle(parts, "run-texts")
     size = parts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     found = repeated_windows(parts.filter("not hot").select("rid", "a", "text"), length, max(12, size // 1_000_000 + 1))
-    found = found.unionByName(repeated_fingerprints(parts.filter("hot").select("rid", "text"), length))
-    alone = wanted.filter("alone").select("rid", "doc", "start")
-    edges = found.join(_remade(alone, "rid"), F.col("rid") == F.col("_rid")).select("doc", (F.col("start") + F.col("from")).alias("from"), (F.col("start") + F.col("to") + length).alias("to"))
-    spans = whole.unionByName(edges)
-    return spans.groupBy("doc").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    found = found.unionByName(repeated_one_by_one(parts.filter("hot").select("rid", "text"), length))
+    alone = wanted.filter("alone").select("rid", *DOC, "start")
+    edges = found.join(_remade(alone, "rid"), _same("rid")).select(*DOC, (F.col("start") + F.col("from")).alias("from"), (F.col("start") + F.col("to") + length).alias("to"))
+    # A set: rows that repeat id and text have the same stretches.
+    return whole.unionByName(edges).groupBy(*DOC).agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+
+
+def merged(spans: list) -> list[tuple[int, int]]:
+    """Maximal stretches covered by the spans, in order."""
+    out: list[tuple[int, int]] = []
+    for begin, end in sorted((x["from"], x["to"]) for x in spans):
+        if out and begin <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((begin, end))
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,41 +259,39 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     Texts are UTF-8 bytes, null as empty; strings never cross documents and are judged on the input. A byte goes if a
     string of ``length`` bytes (at least 32) over it starts anywhere else too, in the same document or in another
     row, overlapping or not; so all copies of a long text go. Null and repeated ids are rows of their own; columns
-    other than id and text are not read. An empty table gives an empty result.
+    other than id and text are not read. An empty table gives an empty result. Texts of any length are worked through
+    in stretches; a task holds a few copies of one text.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    rows = rows.withColumn("doc", F.xxhash64("doc_id", "text"))  # rows that repeat id and text share their spans
-    spans = settle(removed_spans(rows.select("doc", "text"), length), "spans")
+    rows = docs.select(col(id_col).alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
+    # Rows that repeat id and text share their spans.
+    rows = rows.withColumn("doc", F.xxhash64("doc_id", "text")).withColumn("doc2", F.xxhash64(F.lit(1), "text", "doc_id"))
+    with temporary() as tables:
+        long = rows.filter(F.octet_length("text") >= length).select(*DOC, "text")
+        spans = tables.keep(settle(removed_spans(long, length), "spans"))
 
     def clean(batches):
         import hashlib
 
-        import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             cols = ([], [], [], [], [])
             for text, items in zip(stream(batch.column(1)), stream(batch.column(2)), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
-                kept, removed, n = data, 0, 0
-                if items:
-                    step = np.zeros(len(data) + 1, np.int64)
-                    np.add.at(step, [x["from"] for x in items], 1)
-                    np.add.at(step, [x["to"] for x in items], -1)
-                    gone = np.cumsum(step[:-1]) > 0
-                    kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                    removed, n = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                for col, v in zip(cols, (len(data), removed, n, hashlib.sha256(kept).hexdigest(), kept), strict=True):
-                    col.append(v)
+                gone = merged(items or [])
+                kept = b"".join(data[a:b] for a, b in zip([0, *(e for _, e in gone)], [*(a for a, _ in gone), len(data)], strict=True)) if gone else data
+                for own, v in zip(cols, (len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept), strict=True):
+                    own.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        tidy()
 
-    flagged = flag_members(rows, "doc", spans.select("doc"), "_some")
-    clear = flagged.filter("not _some").select("doc_id", "text", F.lit(None).cast("array<struct<from:int,to:int>>").alias("spans"))
-    rest = flagged.filter("_some").join(_remade(spans, "doc"), F.col("doc") == F.col("_doc"), "left").select("doc_id", "text", "spans")
+    flagged = flag_members(rows, list(DOC), spans.select(*DOC), "some")
+    clear = flagged.filter("not some").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    rest = flagged.filter("some").join(_remade(spans, *DOC), _same(*DOC), "left").select("doc_id", "text", "spans")
     return clear.unionByName(rest).mapInArrow(clean, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op4_repeats(spark, sf_dir):
-    return remove_repeats(documents(spark, sf_dir)).drop("kept")
+    return settle(remove_repeats(documents(spark, sf_dir)).drop("kept"), "repeats")
