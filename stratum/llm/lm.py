@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratum.llm.columns import col
 from stratum.llm.scratch import documents, settle
 from stratum.llm.words import distinct, mix64, word_hashes
 from stratum.llm.workers import stream, tidy
@@ -40,19 +41,20 @@ def ngram_keys(doc, word, order: int) -> list:
 
 
 def _pack_keys(keys, bits: int) -> bytes:
-    """The 48 bits after the leading ``bits`` of sorted keys; the partition gives those."""
+    """Sorted keys without their leading bytes, which the partition's number (of ``bits`` bits) gives: none is lost."""
     import numpy as np
 
-    low = (keys << np.uint64(bits)) >> np.uint64(16)
-    return low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 8 - bits // 8]).tobytes()
 
 
-def _unpack_keys(data: bytes):
+def _unpack_keys(data: bytes, bits: int, part: int):
     import numpy as np
 
-    wide = np.zeros((len(data) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return wide.view("<u8").reshape(-1)
+    kept = 8 - bits // 8
+    wide = np.zeros((len(data) // kept, 8), np.uint8)
+    wide[:, :kept] = np.frombuffer(data, np.uint8).reshape(-1, kept)
+    lead = part >> (bits % 8) << (64 - 8 * (bits // 8))  # the part's whole bytes
+    return wide.view("<u8").reshape(-1) | np.uint64(lead)
 
 
 def _pack_counts(n) -> bytes:
@@ -101,7 +103,7 @@ def _lay_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -
             yield emit(ids, raw)
         tidy()
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`"))
+    rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
     return rows.mapInArrow(run, "block long, words long, ids array<long>, lengths binary, data binary")
 
 
@@ -121,12 +123,14 @@ def score_documents(docs: DataFrame, order: int = 2, id_col: str = "doc_id", tex
     divided by all words of the others, and one that no other document has counts 0.5. Counts leave out the
     document's own occurrences; a copy in another row counts as another document. A document without words has
     n_tokens 0, log_score 0 and a null mean. Null and repeated ids are scored row by row; columns other than id and
-    text are not read. An empty table gives an empty result.
+    text are not read. An empty table gives an empty result. N-grams are told apart by 64 bits at any size of the
+    corpus. Partitions grow with the corpus; a block sends a row to those that it has n-grams for, so rows never
+    outnumber n-grams. A task holds one block: some 4 MB of text, or one text that is longer.
     """
     blocks = settle(_lay_blocks(docs, id_col, text_col, block_bytes), "blocks")
     words = blocks.agg(F.sum("words")).first()[0] or 0
-    size = docs.agg(F.sum(F.octet_length(f"`{text_col}`"))).first()[0] or 0
-    bits = max(4, min(16, (size // PART_BYTES).bit_length()))  # of the hash, that name a partition
+    size = docs.agg(F.sum(F.octet_length(col(text_col)))).first()[0] or 0
+    bits = max(8, (size // PART_BYTES).bit_length())  # of the hash, that name a partition
 
     def keys_of(raw):
         import numpy as np
@@ -142,10 +146,10 @@ def score_documents(docs: DataFrame, order: int = 2, id_col: str = "doc_id", tex
         for batch in batches:
             for number, lengths, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 keys, n = distinct(keys_of(_open(lengths, data))[2])
-                cut = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-                some = [p for p in range(1 << bits) if cut[p] < cut[p + 1]]
+                some, first = np.unique(keys >> np.uint64(64 - bits), return_index=True)
+                cut = [slice(a, b) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(some, pa.int32()), pa.array([number] * len(some), pa.int64()), pa.array([_pack_keys(keys[cut[p] : cut[p + 1]], bits) for p in some], pa.binary()), pa.array([_pack_counts(n[cut[p] : cut[p + 1]]) for p in some], pa.binary())],
+                    [pa.array(some.astype("i4")), pa.array([number] * len(some), pa.int64()), pa.array([_pack_keys(keys[c], bits) for c in cut], pa.binary()), pa.array([_pack_counts(n[c]) for c in cut], pa.binary())],
                     ["part", "block", "keys", "counts"],
                 )
 
@@ -154,7 +158,7 @@ def score_documents(docs: DataFrame, order: int = 2, id_col: str = "doc_id", tex
         import pyarrow as pa
 
         part, numbers = table.column("part")[0], table.column("block")
-        lists = [_unpack_keys(k) for k in table.column("keys").to_pylist()]
+        lists = [_unpack_keys(k, bits, part.as_py()) for k in table.column("keys").to_pylist()]
         own = np.concatenate([_unpack_counts(c, len(k)) for c, k in zip(table.column("counts").to_pylist(), lists, strict=True)])
         flat = np.concatenate(lists)
         order_ = np.argsort(flat, kind="stable")
