@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stratum.llm.columns import col
 from stratum.llm.scratch import documents, settle
 from stratum.llm.tokens import id_bytes
 from stratum.llm.workers import stream, tidy
@@ -120,7 +121,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end
         tidy()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    narrow = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    narrow = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     return narrow.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length int, ids_crc32 long, _task int, _nth long")
 
 
@@ -140,7 +141,8 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 2
     for length, a, b, first, per, offset in plan(histogram, size):
         by_length.setdefault(length, []).append({"a": a, "b": b, "first": first, "per": per, "offset": offset})
     before = F.sum("n").over(W.partitionBy("length").orderBy("_task").rowsBetween(W.unboundedPreceding, -1))
-    # Ranks start anew in each task; the table of tasks and lengths is small beside the pieces, and the planner picks the join.
+    # Ranks start anew in each task. The table of tasks and lengths grows with the tasks (at most ``size`` rows for each), so
+    # the planner picks the join by the size that the written table has, and broadcasts it only below its threshold.
     starts = counts.select(F.col("length").alias("_l"), F.col("_task").alias("_t"), F.coalesce(before, F.lit(0)).alias("_before"))
     ranked = cut.join(starts, (F.col("length") == F.col("_l")) & (F.col("_task") == F.col("_t"))).withColumn("_rank", F.col("_before") + F.col("_nth"))
     runs = F.from_json(F.lit(json.dumps([by_length.get(n, []) for n in range(size + 1)])), F.lit("array<array<struct<a:bigint,b:bigint,first:bigint,per:bigint,offset:bigint>>>"))
