@@ -9,11 +9,13 @@ epochs of its documents and, of one further epoch in a seeded order, the prefix
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stratum.llm.columns import col, opened, whole
 from stratum.llm.scratch import documents, settle
 
 LEVELS = ("domain", "lang", "source")
@@ -23,8 +25,8 @@ WEIGHTS = {"lang": {"en": 6.0, "de": 2.0, "fr": 2.0, "es": 1.0}}
 
 def word_count(text: Column) -> Column:
     """White-space separated words, and at least one token for any document."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.greatest(F.lit(1), F.size(F.split(t, r"[\x20\x09-\x0D]+"))).cast("long")
+    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    return F.greatest(F.lit(1), F.size(words)).cast("long")
 
 
 def source_domain(source: Column, domains: int = 4) -> Column:
@@ -66,35 +68,33 @@ def epoch_order(seed: int, epoch: Column, id_: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(id_.cast("string"), F.lit(""))))
 
 
-def mix(docs: DataFrame, total_share: float = 0.8, levels=LEVELS, weights: dict = WEIGHTS, max_epochs: int = 2, seed: int = 11, id_col: str = "doc_id", rows_per_bucket: int = 256) -> DataFrame:
-    """docs' columns, one row for each epoch a document is taken in, with ``epoch`` (from 0) and ``budget`` (its leaf's).
+def default_tree(source: Column | None = None, lang: Column | None = None) -> dict[str, Column]:
+    """Level name -> its value, for tables with lang and source columns."""
+    source = F.col("source") if source is None else source
+    return {"domain": source_domain(source), "lang": F.col("lang") if lang is None else lang, "source": source}
 
-    docs has the level columns, ``id_col`` and a positive ``tokens`` column. The total is total_share of all tokens.
-    A leaf supplies max_epochs times its tokens at most. The partial epoch takes a document if all documents up to and
-    with it, in the epoch's order, fit the budget that whole epochs leave. Null levels are levels of their own; rows
-    that tie in the order (repeated ids) are taken or left together. An empty table gives an empty result. Extra
-    columns pass through; ``epoch`` and ``budget`` replace columns of these names.
 
-    Running sums are taken per bucket of the seeded order, then inside the one bucket per leaf that the budget cuts:
-    no window holds a leaf. The join to the leaves is left to the planner, which splits a hot leaf.
-    """
-    cols = [c for c in docs.columns if c not in ("epoch", "budget")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in cols])
-    stats = settle(docs.groupBy(*levels).agg(F.sum("tokens").alias("supply"), F.count("*").alias("rows")), "leaves")
+def _taken(docs: DataFrame, row: Column, levels: dict[str, Column], tokens: Column, id_: Column, total_share: float, weights: dict, max_epochs: int, seed: int, rows_per_bucket: int) -> DataFrame:
+    """(row, epoch, budget): one row for each epoch that a row of docs is taken in; its columns travel inside ``row``."""
+    names = [f"level{i}" for i in range(len(levels))]
+    weights = {n: weights.get(k, {}) for n, k in zip(names, levels, strict=True)}
+    hashed = [col(f.name) for f in docs.schema if not re.search("map<|variant", f.dataType.simpleString())]
+    base = docs.select(row, *[c.alias(n) for n, c in zip(names, levels.values(), strict=True)], tokens.alias("tokens"), id_.alias("id"), F.xxhash64(*hashed).alias("tie"))
+    stats = settle(base.groupBy(*names).agg(F.sum("tokens").alias("supply"), F.count("*").alias("rows")), "leaves")
     total = (stats.agg(F.sum("supply")).first()[0] or 0) * total_share
     leaves = stats.withColumn("cap", F.col("supply") * max_epochs)
-    leaves = leaf_budgets(leaves, total, levels, weights)
+    leaves = leaf_budgets(leaves, total, tuple(names), weights)
     leaves = settle(
         leaves.withColumn("_whole", F.least(F.expr("budget div supply"), F.lit(max_epochs)))
         .withColumn("_rest", F.when(F.col("_whole") < max_epochs, F.col("budget") - F.col("_whole") * F.col("supply")).otherwise(0))
         .withColumn("_buckets", F.least(F.lit(65536), F.ceil(F.col("rows") / rows_per_bucket)).cast("long"))
-        .withColumn("_leaf", F.xxhash64(*levels)),
+        .withColumn("_leaf", F.xxhash64(*names)),
         "budgets",
     )
     # Levels are made anew as join keys, so both sides are exchanged and a leaf with very many rows may be split.
-    side = leaves.select(*[F.col(k).alias(f"_{k}") for k in levels], "_leaf", "budget", "_whole", "_rest", "_buckets")
-    rows = docs.join(side, [F.col(f"`{k}`").eqNullSafe(F.col(f"_{k}")) for k in levels])
-    rows = rows.withColumn("_order", epoch_order(seed, F.col("_whole"), F.col(f"`{id_col}`")))
+    side = leaves.select(*[F.col(k).alias(f"_{k}") for k in names], "_leaf", "budget", "_whole", "_rest", "_buckets")
+    rows = base.join(side, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in names])
+    rows = rows.withColumn("_order", F.concat(epoch_order(seed, F.col("_whole"), F.col("id")), F.hex("tie")))
     rows = rows.withColumn("_bucket", F.expr("shiftright(cast(conv(substring(_order, 1, 8), 16, 10) as bigint) * _buckets, 32)"))
 
     narrow = rows.filter("_rest > 0").select("_leaf", "_bucket", "_order", "tokens", "_rest")
@@ -112,16 +112,30 @@ def mix(docs: DataFrame, total_share: float = 0.8, levels=LEVELS, weights: dict
     part = (F.col("_rest") > 0) & part
     epochs = F.col("_whole") + F.when(part, 1).otherwise(0)
     took = took.withColumn("_epochs", epochs.cast("int")).filter("_epochs > 0")
-    return took.select(*[F.col(f"`{c}`") for c in cols], F.explode(F.sequence(F.lit(0), F.col("_epochs") - 1)).alias("epoch"), "budget")
+    return took.select("row", F.explode(F.sequence(F.lit(0), F.col("_epochs") - 1)).alias("epoch"), "budget")
+
 
+def mix(docs: DataFrame, levels: dict[str, Column], tokens: Column, total_share: float = 0.8, weights: dict = WEIGHTS, max_epochs: int = 2, seed: int = 11, id_col: str = "doc_id", rows_per_bucket: int = 256, columns: bool = True) -> DataFrame:
+    """docs' columns, one row for each epoch a document is taken in, with ``epoch`` (from 0) and ``budget`` (its leaf's).
+
+    ``levels`` maps the tree's levels, from the root on, to values of docs' rows, and ``tokens`` is positive. The total is
+    total_share of all tokens. A leaf supplies max_epochs times its tokens at most. The partial epoch takes a document if
+    all documents up to and with it, in the epoch's order, fit the budget that whole epochs leave. Null levels are levels
+    of their own; rows that share an id (or have none) are ordered by a hash of the whole row, and only rows equal in
+    every column are taken or left together. An empty table gives an empty result. Columns of any name pass unchanged;
+    only ``epoch`` and ``budget`` replace columns of these names, or with ``columns`` false aren't added at all.
 
-def with_tree(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("domain", source_domain(F.col("source"))).withColumn("tokens", word_count(F.col("text")))
+    Running sums are taken per bucket of the seeded order, then inside the one bucket per leaf that the budget cuts:
+    no window holds a leaf. The join to the leaves is left to the planner, which splits a hot leaf.
+    """
+    row = whole(docs, ("epoch", "budget") if columns else ())
+    out = _taken(docs, row, levels, tokens, col(id_col), total_share, weights, max_epochs, seed, rows_per_bucket)
+    return opened(out, *([F.col("epoch"), F.col("budget")] if columns else []))
 
 
 def op9_mixing(spark, sf_dir):
-    narrow = settle(with_tree(documents(spark, sf_dir)).select("doc_id", "domain", "lang", "source", "tokens"), "mix-rows")
-    return mix(narrow)
+    narrow = documents(spark, sf_dir).select("doc_id", *[c.alias(k) for k, c in default_tree().items()], word_count(F.col("text")).alias("tokens"))
+    return mix(settle(narrow, "mix-rows"), {k: F.col(k) for k in LEVELS}, F.col("tokens"))
 
 
 def _level_sql(i: int) -> str:
@@ -137,7 +151,7 @@ def _level_sql(i: int) -> str:
                / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev
              FROM n{i} WINDOW o AS ({part} ORDER BY c / w, {level})),
     f{i} AS (SELECT *, CASE WHEN c <= lev * w THEN c ELSE w * max(CASE WHEN c > lev * w THEN lev END) OVER ({part}) END AS nxt FROM l{i}),
-    g{i + 1} AS (SELECT g{i}.* EXCLUDE (given), nxt AS given FROM g{i} JOIN f{i} USING ({cols})),"""
+    g{i + 1} AS (SELECT g{i}.* EXCLUDE (given), nxt AS given FROM g{i} JOIN f{i} ON {" AND ".join(f"g{i}.{k} IS NOT DISTINCT FROM f{i}.{k}" for k in keys)}),"""
 
 
 OP9_SQL = f"""
@@ -151,7 +165,7 @@ g0 AS (SELECT *, (SELECT sum(tokens) FROM d)::DOUBLE * 0.8 AS given FROM s),
 b AS (SELECT *, least(budget // supply, 2) AS whole FROM (SELECT *, floor(given + 1e-6)::BIGINT AS budget FROM g3)),
 r AS (SELECT d.*, b.budget, b.whole, CASE WHEN b.whole < 2 THEN b.budget - b.whole * b.supply ELSE 0 END AS rest,
              md5('11:' || b.whole || ':' || coalesce(doc_id::VARCHAR, '')) AS o
-      FROM d JOIN b USING (domain, lang, source)),
+      FROM d JOIN b ON {" AND ".join(f"d.{k} IS NOT DISTINCT FROM b.{k}" for k in LEVELS)}),
 t AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY o) AS run FROM r),
 e AS (SELECT *, whole + CASE WHEN rest > 0 AND run <= rest THEN 1 ELSE 0 END AS epochs FROM t)
 SELECT doc_id, domain, lang, source, tokens, unnest(range(epochs))::INTEGER AS epoch, budget FROM e WHERE epochs > 0
