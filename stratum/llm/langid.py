@@ -10,12 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stratum.llm.scratch import documents, modest_batches
+from stratum.llm.columns import col, opened, whole
+from stratum.llm.scratch import documents, modest_batches, settle
 from stratum.llm.workers import stream, tidy, worker_memo
 
 UNDETERMINED = "und"
+LEAST_SCORE = 0.35  # no held-out text of a learned language scored below 0.42 at sf0.1; letters that no profile knows score 0
 BITS = 21  # of a code point
+STRETCH = 1_000_000  # characters of a long text that are worked through at once
 CODES = 250_000  # n-grams a worker holds of a language before it sums them
 
 
@@ -34,17 +38,35 @@ def _letters():
     return memo["letters"]
 
 
-def gram_codes(text: str):
-    """All n-grams of 1 to 3 letters of each word, with one blank before and after the word, as int64 codes."""
+def gram_codes(text: str, before=(0,), last: bool = True):
+    """All n-grams of 1 to 3 letters of each word, with one blank before and after the word, as int64 codes.
+
+    ``before`` are the last symbols, at most two, of what stands before the text, and ``last`` says that nothing
+    follows it. Gives the codes and the last two symbols.
+    """
     import numpy as np
 
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    s = np.concatenate(([0], _letters()[points], [0])).astype(np.int64)
-    s = s[np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))]  # one blank between words
+    s = np.concatenate((before, _letters()[points], [0] * last)).astype(np.int64)
+    keep = np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))  # one blank between words
+    keep[: len(before)] = True
+    s, old = s[keep], len(before)
     letter = s != 0
     two = (s[:-1] << BITS) | s[1:]
     three = (two[:-1] << BITS) | s[2:]
-    return np.concatenate((s[letter], two, three[letter[1:-1]]))
+    return np.concatenate((s[old:][letter[old:]], two[old - 1 :], three[max(old - 2, 0) :][letter[1:-1][max(old - 2, 0) :]])), s[-2:]
+
+
+def gram_counts(text: str):
+    """Distinct n-grams in order and how often each occurs. A long text is worked through in stretches."""
+    import numpy as np
+
+    before, held = np.zeros(1, np.int64), None
+    for at in range(0, len(text), STRETCH):
+        codes, before = gram_codes(text[at : at + STRETCH], before, at + STRETCH >= len(text))
+        found = _counts(codes)
+        held = found if held is None else _counts(*(np.concatenate(x) for x in zip(held, found, strict=True)))
+    return held
 
 
 def _counts(codes, n=None):
@@ -99,8 +121,8 @@ def profiles(docs: DataFrame, train: Column, lang_col: str = "lang", text_col: s
         for batch in batches:
             for lang, text in zip(stream(batch.column(0)), stream(batch.column(1)), strict=True):
                 if text:
-                    codes = gram_codes(text)
-                    held.setdefault(lang, []).append((codes, np.ones(len(codes), np.int64)))
+                    codes, n = gram_counts(text)
+                    held.setdefault(lang, []).append((codes, n))
                     size[lang] = size.get(lang, 0) + len(codes)
                     if size[lang] > CODES and len(sum_up(lang)[0]) > CODES:
                         yield flush(lang)
@@ -108,26 +130,20 @@ def profiles(docs: DataFrame, train: Column, lang_col: str = "lang", text_col: s
             yield flush(lang)
         tidy()
 
-    modest_batches(docs.sparkSession)
-    rows = docs.filter(train & F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{lang_col}`"), F.col(f"`{text_col}`"))
+    rows = docs.filter(train & col(lang_col).isNotNull()).select(col(lang_col).alias("lang"), col(text_col).alias("text"))
     sums = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     salted = sums.withColumn("salt", F.pmod(F.xxhash64("code"), F.lit(salts)))
     first = salted.withColumn("r", F.row_number().over(W.partitionBy("lang", "salt").orderBy(F.desc("n"), "code"))).filter(F.col("r") <= size)
     by: dict[str, list] = {}
-    for lang, code, n in first.select("lang", "code", "n").collect():
+    with modest_batches(docs.sparkSession):
+        found = first.select("lang", "code", "n").collect()
+    for lang, code, n in found:
         by.setdefault(lang, []).append((-n, code))
     return {lang: [code for _, code in sorted(grams)[:size]] for lang, grams in by.items()}
 
 
-def identify(docs: DataFrame, known: dict[str, list[int]], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, size: int = 400) -> DataFrame:
-    """``keep`` columns (default: all) with lang_pred and score.
-
-    A text that is null or has no letter gets "und" with score 0, as does every text if there are no profiles.
-    Otherwise score is one minus the distance over the greatest possible distance, so 0 to 1. Equal distances go to
-    the language first in order of name. Empty and very long texts are taken whole; null and repeated ids are
-    answered row by row. Columns called lang_pred or score are replaced. Lang, source and id are never looked at.
-    """
-    keep = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score")]
+def _labelled(docs: DataFrame, row: Column, text: Column, known: dict[str, list[int]], size: int) -> DataFrame:
+    """(row, lang_pred, score) of each row of docs, whose columns travel inside the struct ``row``."""
     names = sorted(known)
 
     def label(batches):
@@ -141,13 +157,13 @@ def identify(docs: DataFrame, known: dict[str, list[int]], id_col: str = "doc_id
             ranks[i, np.searchsorted(grams, np.array(known[lang], np.int64))] = np.arange(len(known[lang]))
         for batch in batches:
             langs, scores = [], []
-            for text in stream(batch.column(batch.num_columns - 1)):
-                codes = gram_codes(text) if text and names else ()
+            for text in stream(batch.column(1)):
+                codes, n = gram_counts(text) if text and names else ((), ())
                 if len(codes) < 2:  # blanks alone make one
                     langs.append(UNDETERMINED)
                     scores.append(0.0)
                     continue
-                top = _top(*_counts(codes), size)
+                top = _top(codes, n, size)
                 at = np.searchsorted(grams, top)
                 at[grams[np.minimum(at, len(grams) - 1)] != top] = len(grams)
                 own = ranks[:, at]
@@ -155,14 +171,24 @@ def identify(docs: DataFrame, known: dict[str, list[int]], id_col: str = "doc_id
                 i = int(apart.argmin())
                 langs.append(names[i])
                 scores.append(1.0 - float(apart[i]) / (size * len(top)))
-            arrays = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
         tidy()
 
-    modest_batches(docs.sparkSession)
-    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text"))
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return given.mapInArrow(label, f"{fields}, lang_pred string, score double")
+    given = docs.select(row, text.alias("text"))
+    return given.mapInArrow(label, T.StructType([given.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+
+
+def identify(docs: DataFrame, known: dict[str, list[int]], text_col: str = "text", keep: list[str] | None = None, size: int = 400) -> DataFrame:
+    """``keep`` columns (default: all) with lang_pred and score.
+
+    A text that is null or has no letter gets "und" with score 0, as does every text if there are no profiles.
+    Otherwise score is one minus the distance over the greatest possible distance, so 0 to 1. Equal distances go to
+    the language first in order of name. Empty and very long texts are taken whole, these in stretches; null and repeated
+    ids are answered row by row. Columns called lang_pred or score are replaced, all others pass unchanged. Lang,
+    source and id are never looked at.
+    """
+    docs_ = docs.select(*map(col, keep)) if keep else docs
+    return opened(_labelled(docs, whole(docs_, ("lang_pred", "score")), col(text_col), known, size), F.col("lang_pred"), F.col("score"))
 
 
 def fold(id_: Column, folds: int) -> Column:
@@ -171,13 +197,17 @@ def fold(id_: Column, folds: int) -> Column:
 
 def op6_langid(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    held = fold(F.col("doc_id"), 4) == 2
-    out = identify(docs, profiles(docs, ~F.coalesce(held, F.lit(False))), keep=["doc_id"])
-    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    held = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    out = settle(identify(docs, profiles(docs, ~held), keep=["doc_id"]), "languages")
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, train: Column | None = None, least_score: float = 0.0) -> DataFrame:
-    """docs' columns and rows, without those whose language can't be told: no letters, or a score below least_score."""
-    known = profiles(docs, F.lit(True) if train is None else train)
-    out = identify(docs, known)
-    return out.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).select(*[F.col(f"`{c}`") for c in docs.columns])
+def keep_known(docs: DataFrame, train: Column | None = None, least_score: float = LEAST_SCORE, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """docs in their own columns, ``lang_col`` now the language found, without the rows whose language can't be told.
+
+    Those have no letter, or a score below ``least_score``: their n-grams are too far from every language learned. With
+    no language learned at all, every row goes. The profiles are learned from the rows where train holds (default: all).
+    """
+    known = profiles(docs, F.lit(True) if train is None else train, lang_col, text_col)
+    out = _labelled(docs, whole(docs), col(text_col), known, 400).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score))
+    return opened(out.withColumn("row", F.col("row").withField("`" + lang_col.replace("`", "``") + "`", F.col("lang_pred"))))

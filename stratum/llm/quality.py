@@ -8,15 +8,19 @@ vectorised bin additions.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratum.llm.columns import col
 from stratum.llm.langid import fold
 from stratum.llm.scratch import documents, settle
+from stratum.llm.words import stretches
 from stratum.llm.workers import stream, tidy
 
+STRETCH = 4_000_000  # bytes of a long text that are worked through at once
 FEATURES = (
     "bytes", "words", "word_bytes", "longest_word", "upper_of_letters", "letters", "digits", "spaces", "newlines", "full_stops", "commas", "bangs", "bars", "signs", "other_marks",
     "other_bytes", "distinct_words", "top_word", "repeated_neighbours", "distinct_lines", "words_end_in_sign", "capital_words", "entropy",
@@ -24,30 +28,48 @@ FEATURES = (
 
 
 def text_features(text: str | None) -> list[float]:
-    """FEATURES of a whole text; a null or empty one has zeros."""
+    """FEATURES of a whole text; a null or empty one has zeros. A long text is worked through in stretches of whole words."""
     import numpy as np
 
     data = (text or "").encode("utf-8", "surrogatepass")
-    words = data.split()
-    if not words:
-        return [float(np.log1p(len(data)))] + [0.0] * (len(FEATURES) - 1)
-    n = len(data)
-    c = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+    n, m = len(data), 0
+    c = np.zeros(256, np.int64)
+    seen: dict[bytes, int] = {}
+    lines: set[bytes] = set()
+    n_lines = word_bytes = longest = neighbours = ends = capitals = 0
+    before = None
+    for part in stretches(data, STRETCH, 0):
+        c += np.bincount(np.frombuffer(part, np.uint8), minlength=256)
+        words = part.split()
+        if not words:
+            continue
+        for w in words:
+            seen[w] = seen.get(w, 0) + 1
+        m += len(words)
+        word_bytes += sum(map(len, words))
+        longest = max(longest, max(map(len, words)))
+        neighbours += sum(map(bytes.__eq__, words, words[1:])) + (before == words[0])
+        before = words[-1]
+        ends += sum(w[-1] in b"#$%&*!|" for w in words)
+        capitals += sum(65 <= w[0] <= 90 for w in words)
+    if not m:
+        return [float(np.log1p(n))] + [0.0] * (len(FEATURES) - 1)
+    begin = 0
+    while begin <= n:
+        stop = data.find(b"\n", begin)
+        stop = n if stop < 0 else stop
+        line = data[begin:stop]
+        lines.add(line if len(line) <= 64 else hashlib.blake2b(line, digest_size=16).digest())
+        n_lines, begin = n_lines + 1, stop + 1
     upper, lower = int(c[65:91].sum()), int(c[97:123].sum())
     marks = int(c[33:48].sum() + c[58:65].sum() + c[91:97].sum() + c[123:127].sum())
     signs = int(c[[35, 36, 37, 38, 42, 64, 94, 126]].sum())
-    seen: dict[bytes, int] = {}
-    for w in words:
-        seen[w] = seen.get(w, 0) + 1
-    lines = data.split(b"\n")
     p = c[c > 0] / n
-    m = len(words)
-    ends = sum(w[-1] in b"#$%&*!|" for w in words)
     return [
-        float(np.log1p(n)), float(np.log1p(m)), sum(map(len, words)) / m, float(np.log1p(max(map(len, words)))), upper / max(1, upper + lower), (upper + lower) / n, int(c[48:58].sum()) / n, int(c[32]) / n,
+        float(np.log1p(n)), float(np.log1p(m)), word_bytes / m, float(np.log1p(longest)), upper / max(1, upper + lower), (upper + lower) / n, int(c[48:58].sum()) / n, int(c[32]) / n,
         int(c[10]) / n, int(c[46]) / m, int(c[44]) / m, int(c[33]) / m, int(c[124]) / m, signs / m, (marks - signs - int(c[46] + c[44] + c[33] + c[124])) / m,
-        int(c[128:].sum()) / n, len(seen) / m, max(seen.values()) / m, sum(map(bytes.__eq__, words, words[1:])) / m, len(set(lines)) / len(lines), ends / m,
-        sum(65 <= w[0] <= 90 for w in words) / m, float(-(p * np.log2(p)).sum()),
+        int(c[128:].sum()) / n, len(seen) / m, max(seen.values()) / m, neighbours / m, len(lines) / n_lines, ends / m,
+        capitals / m, float(-(p * np.log2(p)).sum()),
     ]
 
 
@@ -179,14 +201,14 @@ def featurize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         tidy()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`")).mapInArrow(run, f"id {kind}, features array<float>")
+    return docs.select(col(id_col).alias("id"), col(text_col).alias("text")).mapInArrow(run, f"id {kind}, features array<float>")
 
 
 def train(features: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample: int = 20_000) -> Model:
     """Fits on at most ``sample`` labelled rows, those first in the order of a hash of their id; null labels are left out."""
     import numpy as np
 
-    given = labels.select(F.col(f"`{id_col}`").alias("_l"), F.col(f"`{label_col}`").cast("double").alias("y")).filter("y is not null")
+    given = labels.select(col(id_col).alias("_l"), col(label_col).cast("double").alias("y")).filter("y is not null")
     rows = features.join(given, F.col("id") == F.col("_l")).select("features", "y", F.xxhash64("id").alias("h"))
     rows = rows.orderBy("h", "y").limit(sample).collect()
     x = np.array([r[0] for r in rows], np.float32).reshape(len(rows), len(FEATURES))
