@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from stratum.llm.exact_dedup import keep_first
 from stratum.llm.langid import fold, keep_known
 from stratum.llm.minhash import keep_one
-from stratum.llm.mixing import mix, with_tree
+from stratum.llm.mixing import default_tree, mix, word_count
 from stratum.llm.packing import pack
-from stratum.llm.scratch import documents, settle
+from stratum.llm.scratch import documents, settle, temporary
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many tokens as there are, divided by the tree's weights; a document taken in two epochs stands twice."""
-    return mix(with_tree(docs), total_share=1.0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mix(docs, default_tree(), word_count(F.col("text")), total_share=1.0, columns=False)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,10 @@ def test_language_edges(small, nothing):
         assert blank or r["lang_pred"] in known
     assert langid.identify(nothing, known).count() == 0 and langid.profiles(nothing, F.lit(True)) == {}
     assert {r["lang_pred"] for r in langid.identify(small, {}).collect()} == {"und"}
-    assert langid.keep_known(small).columns == small.columns
+    kept = langid.keep_known(small)
+    assert kept.columns == small.columns and {r["score"] for r in kept.collect()} == {"mine"}
+    assert {r["lang"] for r in kept.collect()} <= set(known)
+    assert langid.keep_known(nothing).count() == 0
 
 
 def test_profile_order(spark):
@@ -68,7 +71,7 @@ def test_neighbours(spark):
     rng = random.Random(4)
     good = [(i, [float(np.float32(rng.gauss(0, 1))) for _ in range(8)]) for i in range(400)]
     good += [(400 + i, good[7][1]) for i in range(30)]  # a vector repeated often
-    bad = [(900, None), (901, [0.0] * 8), (902, [float("nan")] + [1.0] * 7), (903, [None] + [1.0] * 7), (904, [float("inf")] * 8), (905, [1.0]), (None, [1.0] * 8)]
+    bad = [(900, None), (901, [0.0] * 8), (902, [float("nan")] + [1.0] * 7), (903, [None] + [1.0] * 7), (904, [float("inf")] * 8), (906, []), (None, [1.0] * 8)]
     vectors = spark.createDataFrame(good + bad, "vec_id long, embedding array<float>")
     queries = vectors.filter("vec_id % 10 = 0 or vec_id is null")
     got: dict = {}
