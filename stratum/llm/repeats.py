@@ -11,7 +11,6 @@ Anchors with too many distinct texts for one task take the same windows one by o
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratum.llm.columns import col
@@ -23,6 +22,7 @@ from stratum.llm.workers import slices, stream, tidy
 
 GRAM = 32  # bytes of an anchor
 HOT_TEXTS, HOT_BYTES = 500, 1_000_000  # beyond these an anchor is divided
+BLOCK_BYTES = 1_000_000  # of such texts that are worked through at once
 STRETCH = 2_000_000  # windows of a long text that are worked through at once; a run that is cut there only costs work
 DOC = ("doc", "doc2")  # 128 bits
 
@@ -163,28 +163,110 @@ def repeated_windows(texts: DataFrame, length: int, buckets: int) -> DataFrame:
     return texts.withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(buckets))).groupBy("bucket").applyInArrow(sort, "rid long, from int, to int")
 
 
+def window_digests(texts: list[bytes], length: int):
+    """(digest, text, place): of each window of the texts, the two halves of 128 bits of blake2b, its text and its start there."""
+    import hashlib
+
+    import numpy as np
+
+    n = np.array([len(t) - length + 1 for t in texts])
+    raw = b"".join(hashlib.blake2b(t[i : i + length], digest_size=16).digest() for t in texts for i in range(len(t) - length + 1))
+    own = np.repeat(np.arange(len(texts)), n)
+    return np.frombuffer(raw, "<u8").reshape(-1, 2), own, np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _distinct_digests(d):
+    """Sorted distinct digests, and for each row of d its place among them."""
+    import numpy as np
+
+    order = np.lexsort((d[:, 1], d[:, 0]))
+    ranked = d[order]
+    new = np.concatenate((np.ones(min(1, len(d)), bool), (ranked[1:] != ranked[:-1]).any(1)))
+    place = np.empty(len(d), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ranked[new], place
+
+
 def repeated_one_by_one(texts: DataFrame, length: int) -> DataFrame:
-    """The same as repeated_windows, from 128 bits of blake2b for each window, for anchors with any number of texts."""
+    """The same as repeated_windows, from 128 bits of blake2b for each window, for anchors with any number of texts.
 
-    def spread(batches):
-        import hashlib
+    Texts lie in blocks of about BLOCK_BYTES. A block sends its distinct digests, as packed arrays, to the partitions that
+    their leading bits name; each partition answers with which of them occur twice or more, in the block's own order. Rows
+    are blocks times partitions, or as many as windows if those are fewer; a frequent window is one entry of each block.
+    """
+
+    def lay(batches):
+        import uuid
 
+        import pyarrow as pa
+
+        def emit(rids, raw):
+            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([rids], pa.list_(pa.int64())), pa.array([raw], pa.list_(pa.binary()))], ["block", "rids", "texts"])
+
+        rids, raw, size = [], [], 0
+        for batch in batches:
+            for rid, text in zip(stream(batch.column("rid")), stream(batch.column("text")), strict=True):
+                # A long text comes in stretches that share length - 1 bytes; its windows' places count from the stretch.
+                for at in range(0, len(text) - length + 1, BLOCK_BYTES):
+                    rids += [rid, at]
+                    raw.append(text[at : at + BLOCK_BYTES + length - 1])
+                    size += len(raw[-1])
+                    if size >= BLOCK_BYTES:
+                        yield emit(rids, raw)
+                        rids, raw, size = [], [], 0
+        if raw:
+            yield emit(rids, raw)
+
+    blocks = settle(texts.mapInArrow(lay, "block long, rids array<long>, texts array<binary>"), "hot-blocks")
+    size = blocks.agg(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.length(t)))).first()[0] or 0
+    bits = max(1, (size // BLOCK_BYTES).bit_length())  # of the digest, that name a partition
+
+    def send(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for rid, raw in zip(stream(batch.column("rid")), stream(batch.column("text")), strict=True):
-                for s in range(0, len(raw) - length + 1, 50_000):
-                    a = np.arange(s, min(s + 50_000, len(raw) - length + 1))
-                    d = np.frombuffer(b"".join(hashlib.blake2b(raw[i : i + length], digest_size=16).digest() for i in a.tolist()), "<i8").reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(np.full(len(a), rid, "i8")), pa.array(a.astype("i4"))], ["d1", "d2", "rid", "from"])
-
-    each = settle(texts.mapInArrow(spread, "d1 long, d2 long, rid long, from int"), "windows")
-    twice = each.groupBy("d1", "d2").agg(F.count("*").alias("n")).filter("n > 1")
-    hits = each.join(_remade(twice, "d1", "d2"), (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2"))).select("rid", "from")
-    # Neighbouring windows of a text become one row.
-    island = F.col("from") - F.row_number().over(W.partitionBy("rid").orderBy("from"))
-    return hits.withColumn("island", island).groupBy("rid", "island").agg(F.min("from").alias("from"), F.max("from").alias("to")).select("rid", "from", "to")
+            for block, raw in zip(stream(batch.column("block"), 1), stream(batch.column("texts"), 1), strict=True):
+                kinds, place = _distinct_digests(window_digests(raw, length)[0])
+                twice = np.bincount(place, minlength=len(kinds)) > 1
+                some, first = np.unique(kinds[:, 0] >> np.uint64(64 - bits), return_index=True)
+                cut = [slice(a, b) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(kinds)], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some.astype("i4")), pa.array([block] * len(some), pa.int64()), pa.array([kinds[c].tobytes() for c in cut], pa.binary()), pa.array([twice[c].tobytes() for c in cut], pa.binary())],
+                    ["part", "block", "digests", "twice"],
+                )
+
+    def meet(table):
+        import numpy as np
+        import pyarrow as pa
+
+        raw = table.column("digests").to_pylist()
+        kinds, place = _distinct_digests(np.frombuffer(b"".join(raw), "<u8").reshape(-1, 2))
+        often = np.bincount(place, minlength=len(kinds)) > 1
+        np.logical_or.at(often, place, np.frombuffer(b"".join(table.column("twice").to_pylist()), bool))
+        ends = np.cumsum([len(r) // 16 for r in raw])
+        answer = [often[place[e - len(r) // 16 : e]].tobytes() for r, e in zip(raw, ends.tolist(), strict=True)]
+        return pa.table([table.column("part"), table.column("block"), pa.array(answer, pa.binary())], ["part", "block", "often"])
+
+    def mark(key, block, back):
+        import numpy as np
+        import pyarrow as pa
+
+        rids, raw = block.column("rids")[0].as_py(), block.column("texts")[0].as_py()
+        digests, own, at = window_digests(raw, length)
+        place = _distinct_digests(digests)[1]
+        answers = dict(zip(back.column("part").to_pylist(), back.column("often").to_pylist(), strict=True))
+        often = np.frombuffer(b"".join(answers[p] for p in sorted(answers)), bool)
+        hit = often[place]
+        # A run of repeated windows inside one text is one row.
+        begin = hit & np.concatenate(([True], ~hit[:-1] | (own[1:] != own[:-1])))
+        end = hit & np.concatenate((~hit[1:] | (own[1:] != own[:-1]), [True]))
+        rid, shift = np.array(rids[0::2])[own[begin]], np.array(rids[1::2])[own[begin]]
+        return pa.table([pa.array(rid), pa.array((at[begin] + shift).astype("i4")), pa.array((at[end] + shift).astype("i4"))], ["rid", "from", "to"])
+
+    sent = blocks.select("block", "texts").mapInArrow(send, "part int, block long, digests binary, twice binary")
+    answers = sent.groupBy("part").applyInArrow(meet, "part int, block long, often binary")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(mark, "rid long, from int, to int")
 
 
 def _remade(rows: DataFrame, *keys: str) -> DataFrame:
