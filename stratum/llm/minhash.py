@@ -30,7 +30,7 @@ WORDS = 5
 LENGTH = 80  # signature
 MISSED, UNLIKE = 5e-7, 1e-7  # greatest chances that a pair at the threshold misses all bands, or fails the signature check
 LARGE_BUCKET = 64  # members outside a bucket's largest component that call for another turn of stars before pairs are compared
-STAR_TURNS = 4
+STAR_TURNS = 3
 STRETCH = 4_000_000  # bytes of a long text that are worked through at once
 ELEMENTS = 500_000  # of a set that are ranked at once
 
@@ -263,8 +263,17 @@ def _likely(left: str, right: str, numerator: int):
     return sizes & (same >= alike(numerator))
 
 
+def equal_bytes(a, b):
+    """How many bytes agree in each pair of rows of two uint64 matrices."""
+    import numpy as np
+
+    low, high = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
+    x = a ^ b
+    return 8 * x.shape[1] - np.bitwise_count((((x & low) + low) | x) & high).sum(1, dtype=np.int64)
+
+
 def _likely_partners(table, key: int, i: int, j: int, numerator: int):
-    """For each own row r of a group: (r, the likely partners of r in other components), by sizes, signature and ``most``.
+    """(a, b): rows of a group that are likely linked and in different components, by sizes, ``most`` and signature.
 
     ``own`` marks rows of the group's size class; of the others, one class lower, only pairs with an own row count.
     With i below 0, members of the bucket's largest component (``main``) meet the others; else i and j tell the two
@@ -275,33 +284,43 @@ def _likely_partners(table, key: int, i: int, j: int, numerator: int):
 
     own, main = (table.column(c).to_numpy(zero_copy_only=False) for c in ("own", "main"))
     ids, n, comp, most, block = (table.column(c).to_numpy() for c in ("id", "n", "comp", "most", "block"))
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, LENGTH)
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u8").reshape(-1, LENGTH // 8)
     bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(sig), -1)
-    for r in np.flatnonzero(own):
+    rows, out = np.flatnonzero(own), [(np.zeros(0, np.int64),) * 2]
+    step = max(1, 200_000 // len(ids))
+    for s in range(0, len(rows), step):
+        r = rows[s : s + step][:, None]
         ok = (comp != comp[r]) & (100 * np.minimum(n, n[r]) >= numerator * np.maximum(n, n[r])) & (~own | (ids > ids[r]))
         ok &= (100 + numerator) * np.minimum(most, most[r]) >= numerator * (n + n[r])
         ok &= (main != main[r]) if i < 0 else ((block == j) & (block[r] == i)) | ((block == i) & (block[r] == j))
-        at = np.flatnonzero(ok)
-        at = at[(sig[at] == sig[r]).sum(1) >= alike(numerator)]
-        yield r, at[bands[r][(bands[at] == bands[r]).argmax(1)] == key]
+        a, b = np.nonzero(ok)
+        a = rows[s + a]
+        for c in range(0, len(a), 50_000):
+            p, q = a[c : c + 50_000], b[c : c + 50_000]
+            fit = equal_bytes(sig[p], sig[q]) >= alike(numerator)
+            p, q = p[fit], q[fit]
+            first = (bands[p] == bands[q]).argmax(1)
+            here = bands[p, first] == key
+            out.append((p[here], q[here]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def dealt_pairs(held: DataFrame, props: DataFrame, numerator: int, block: int, tasks: int) -> DataFrame:
     """The members of open buckets, dealt to the groups (key, size_class, i, j) in which their pairs meet, over ``tasks`` tasks.
 
     held: (key, id, comp); props: (id, n, most, sig, bands). With m members in the bucket's largest component and r others,
-    the others go to every block of the largest component's, whose members go to one each, and to every block of the
-    others: m + r * (m + r) / block rows.
+    blocks of the one meet blocks of the others, and these each other: r * (2 * m + r) / block rows, and no group has more
+    than two blocks.
     """
     counts = held.groupBy("key", "comp").agg(F.count("*").alias("c"))
     sizes = counts.groupBy("key").agg(F.max_by("comp", F.struct(F.col("c"), -F.col("comp"))).alias("largest"), F.max("c").alias("m"), F.sum("c").alias("all"))
     sizes = sizes.select(F.expr("key ^ cast(0 as bigint)").alias("k"), "largest", F.ceil(F.col("m") / block).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("m")) / block).cast("int").alias("others"))
     rows = held.join(sizes, F.col("key") == F.col("k")).withColumn("main", F.col("comp") == F.col("largest"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
-    to = F.struct(F.lit(-1).alias("i"), F.col("block").alias("j"))
-    meets_main = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda b: F.struct(F.lit(-1).alias("i"), b.alias("j")))
+    meets_others = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda b: F.struct((-1 - b).alias("i"), F.col("block").alias("j")))
+    meets_main = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda b: F.struct((-1 - F.col("block")).alias("i"), b.alias("j")))
     meets_rest = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda b: F.struct(F.least(b, F.col("block")).alias("i"), F.greatest(b, F.col("block")).alias("j")))
-    rows = rows.withColumn("to", F.explode(F.when(F.col("main"), F.array(to)).otherwise(F.concat(meets_main, meets_rest))))
+    rows = rows.withColumn("to", F.explode(F.when(F.col("main"), meets_others).otherwise(F.concat(meets_main, meets_rest))))
     rows = rows.select("key", "id", "comp", "main", "block", "to.i", "to.j").join(props.withColumnRenamed("id", "own_id"), F.col("id") == F.col("own_id"))
     # Sizes of a pair differ by the ratio at most, so both are of one class, or of neighbouring ones.
     rows = rows.withColumn("class", F.floor(F.log("n") / -F.log(F.lit(numerator / 100)) + 1e-9).cast("int")).withColumn("g", F.explode(F.array(F.lit(0), F.lit(1))))
@@ -316,11 +335,8 @@ def likely_members(rows: DataFrame, numerator: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        ids, found = table.column("id").to_numpy(), np.zeros(table.num_rows, bool)
-        for r, at in _likely_partners(table, key[0].as_py(), key[2].as_py(), key[3].as_py(), numerator):
-            found[at] = True
-            found[r] |= len(at) > 0
-        return pa.table([pa.array(np.unique(ids[found]))], ["id"])
+        pairs = _likely_partners(table, key[0].as_py(), key[2].as_py(), key[3].as_py(), numerator)
+        return pa.table([pa.array(np.unique(table.column("id").to_numpy()[np.concatenate(pairs)]))], ["id"])
 
     return rows.groupBy("key", "size_class", "i", "j").applyInArrow(run, "id long").distinct()
 
@@ -332,12 +348,8 @@ def close_pairs(rows: DataFrame, numerator: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        ids, us, vs = table.column("id").to_numpy(), [], []
-        for r, at in _likely_partners(table, key[0].as_py(), key[2].as_py(), key[3].as_py(), numerator):
-            us.append(np.minimum(ids[at], ids[r]))
-            vs.append(np.maximum(ids[at], ids[r]))
-        u, v = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (us, vs))
-        return pa.table([pa.array(u), pa.array(v)], ["u", "v"])
+        a, b = (table.column("id").to_numpy()[x] for x in _likely_partners(table, key[0].as_py(), key[2].as_py(), key[3].as_py(), numerator))
+        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
 
     return rows.groupBy("key", "size_class", "i", "j").applyInArrow(run, "u long, v long")
 
@@ -362,20 +374,28 @@ def foreign_overlap(texts: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _star_turns(members: DataFrame, texts: DataFrame, props: DataFrame, numerator: int):
-    """(links, groups, held): links found from the buckets' centres, components by them, and the members of buckets still open."""
-    links, held = None, members.withColumn("comp", F.col("id"))
+    """(links, groups, held): links found from the buckets' centres, components by them, and the members of buckets still open.
+
+    A bucket whose members are in one component stays so, so each turn looks only at what the turn before left open, and
+    turns after the first only at buckets with many members outside their largest component.
+    """
+    links, held, large = None, members.withColumn("comp", F.col("id")), None
     for turn in range(STAR_TURNS):
-        centred = held.join(_centres(held, turn), F.col("key") == F.col("k")).filter("comp <> centre_comp")
+        at = held if large is None else held.join(large, F.col("key") == F.col("k")).select(*held.columns)
+        centred = at.join(_centres(at, turn), F.col("key") == F.col("k")).filter("comp <> centre_comp")
         stars = centred.select(F.least("id", "centre").alias("u"), F.greatest("id", "centre").alias("v")).distinct()
         stars = stars.join(props.alias("a"), F.col("u") == F.col("a.id")).join(props.alias("b"), F.col("v") == F.col("b.id")).filter(_likely("a", "b", numerator)).select("u", "v")
         new = settle(verify(stars, texts, numerator), f"links-{turn}")
+        if turn and not new.limit(1).count():
+            break
         links = new if links is None else links.unionByName(new)
         groups = components(links)
-        held = members.join(groups, F.col("id") == F.col("node"), "left").select("key", "id", "weight", F.coalesce("component", "id").alias("comp"))
-        apart = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select(F.expr("key ^ cast(0 as bigint)").alias("k"))
-        held = settle(held.join(apart, F.col("key") == F.col("k")).select("key", "id", "weight", "comp"), f"open-{turn}")
+        now = held.drop("comp").join(groups, F.col("id") == F.col("node"), "left").select("key", "id", "weight", F.coalesce("component", "id").alias("comp"))
+        apart = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select(F.expr("key ^ cast(0 as bigint)").alias("k"))
+        held = settle(now.join(apart, F.col("key") == F.col("k")).select("key", "id", "weight", "comp"), f"open-{turn}")
         outside = held.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg((F.sum("c") - F.max("c")).alias("c"))
-        if not outside.filter(F.col("c") > LARGE_BUCKET).limit(1).count():
+        large = settle(outside.filter(F.col("c") > LARGE_BUCKET).select(F.expr("key ^ cast(0 as bigint)").alias("k")), f"large-{turn}")
+        if not large.limit(1).count():
             break
     return links, groups, held
 
