@@ -36,6 +36,21 @@ def scan_region(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"cells": [[dict(zip(names, c, strict=True)) for c in cells] for cells, _ in rows], "error": [e for _, e in rows]})
 
 
+REFS = "array<struct<cx:int,cz:int,compression:smallint,timestamp:bigint,external:boolean,content_hash:binary>>"
+
+
+@arrow(f"struct<cells:{REFS},error:string>")
+def scan_refs(data: pd.Series) -> pd.DataFrame:
+    """Like scan_region, with each cell's hash in place of its payload; null for a payload that lies outside."""
+
+    def one(c):
+        cx, cz, when, scheme, payload, outside = c
+        return {"cx": cx, "cz": cz, "compression": scheme, "timestamp": when, "external": outside, "content_hash": None if outside else region.chunk_hash(scheme, payload)}
+
+    rows = [region.scan(bytes(d)) for d in data]
+    return pd.DataFrame({"cells": [[one(c) for c in cells] for cells, _ in rows], "error": [e for _, e in rows]})
+
+
 @arrow("binary")
 def pack_region(cells: pd.Series) -> pd.Series:
     """From arrays of structs cx, cz, timestamp, compression, payload, packed in the order of (cz, cx)."""

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 DEFAULT_EXCLUDES = ("session.lock", "logs/**", "crash-reports/**", "*.log", "usercache.json")
 #: Archive suffixes.
 ARCHIVE_SUFFIXES = (".zip", ".tar", ".tar.gz", ".tar.bz2", ".tar.xz", ".tgz", ".tbz2", ".txz")
+#: How names carry times and region coordinates, and what labels may hold.
 TIMESTAMP_FORMAT = "yyyy-MM-dd-HH-mm-ss"
 TIMESTAMP_PATTERN = r"(\d{4}-\d{2}-\d{2}-\d{2}-\d{2}-\d{2})"
+LABEL_PATTERN = r"[^A-Za-z0-9._-]+"
 REGION_PATTERN = r"(?:^|/)r\.(-?\d+)\.(-?\d+)\.mc[ar]$"
 
 
@@ -69,10 +71,11 @@ def matches_any(path: Column, patterns) -> Column:
 
 
 def under_any(path: Column, roots) -> Column:
-    """The path is one of the roots, or below one."""
+    """The path is one of the roots (strings or columns), or below one."""
     hit = F.lit(False)
     for r in roots:
-        hit |= (path == r) | path.startswith(r.rstrip("/") + "/")
+        below = F.concat(F.rtrim(r, F.lit("/")), F.lit("/")) if isinstance(r, Column) else r.rstrip("/") + "/"
+        hit |= (path == r) | path.startswith(below)
     return hit
 
 
@@ -103,7 +106,7 @@ def short_id(id_: Column) -> Column:
 
 
 def clean_label(label: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(label, r"[^A-Za-z0-9._-]+", "-"), r"^-+|-+$", "")
+    return F.regexp_replace(F.regexp_replace(label, LABEL_PATTERN, "-"), r"^-+|-+$", "")
 
 
 def without_archive_suffix(name: Column) -> Column:

@@ -9,11 +9,15 @@ KINDS = ("added", "removed", "modified")
 
 
 def full_diff(old: DataFrame, new: DataFrame, keys: list[str], value: str = "hash", keep_equal: bool = False) -> DataFrame:
-    """keys, kind, old_hash, new_hash of each key whose hash differs: one full outer join, equal rows dropped."""
-    a = old.select(*keys, F.col(value).alias("old_hash"))
-    b = new.select(*keys, F.col(value).alias("new_hash"))
-    kind = F.when(F.col("old_hash").isNull(), "added").when(F.col("new_hash").isNull(), "removed").when(F.col("old_hash") != F.col("new_hash"), "modified").otherwise("equal")
-    out = a.join(b, keys, "full").select(*keys, kind.alias("kind"), "old_hash", "new_hash")
+    """keys, kind, old_hash, new_hash of each key whose hash differs: one full outer join, equal rows dropped.
+
+    A row with a null hash is there, and differs from any hash; rows whose keys hold a null meet those with the same.
+    """
+    a = old.select(*[F.col(k).alias(f"_a{i}") for i, k in enumerate(keys)], F.col(value).alias("old_hash"), F.lit(True).alias("_old"))
+    b = new.select(*[F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)], F.col(value).alias("new_hash"), F.lit(True).alias("_new"))
+    kind = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(~F.col("old_hash").eqNullSafe(F.col("new_hash")), "modified").otherwise("equal")
+    both = a.join(b, [F.col(f"_a{i}").eqNullSafe(F.col(f"_b{i}")) for i in range(len(keys))], "full")
+    out = both.select(*[F.when(F.col("_old").isNull(), F.col(f"_b{i}")).otherwise(F.col(f"_a{i}")).alias(k) for i, k in enumerate(keys)], kind.alias("kind"), "old_hash", "new_hash")
     return out if keep_equal else out.filter("kind <> 'equal'")
 
 

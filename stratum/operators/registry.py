@@ -26,12 +26,21 @@ def resolve(wanted: DataFrame, registry: DataFrame, id_col: str, label: str, ts:
     exact = registry.select(F.lit(1).alias("p"), id_col, ts, i.alias("_at"))
     titled = registry.select(F.lit(2).alias("p"), id_col, ts, F.col(label).alias("_at"))
     direct = wanted.join(exact.unionByName(titled), w == F.col("_at")).select(name, "p", id_col, ts)
-    # Ids are few beside references, and wanted is a request: its size is the caller's.
-    prefix = wanted.join(registry.select(id_col, ts), F.startswith(F.lower(i), F.lower(w))).select(name, F.lit(3).alias("p"), id_col, ts)
+    # Every id under each of its beginnings (as many as it has characters), so that the join is one of equal keys.
+    starts = registry.select(id_col, ts, F.explode(F.transform(F.sequence(F.lit(1), F.length(i)), lambda n: F.lower(F.substring(i, F.lit(1), n)))).alias("_at"))
+    prefix = wanted.join(starts, F.lower(w) == F.col("_at")).select(name, F.lit(3).alias("p"), id_col, ts)
     order = W.partitionBy(name).orderBy("p", F.desc(ts), id_col)
     return direct.unionByName(prefix).withColumn("_r", F.row_number().over(order)).filter("_r = 1").select(name, id_col, F.col("p").alias("matched_by"))
 
 
+def find(rows: DataFrame, name: str, id_col: str, label: str, ts: str) -> str | None:
+    """The id that one name stands for: the registry is filtered, not joined, so its size costs one scan."""
+    i = F.col(id_col).cast("string")
+    rank = F.when(i == name, 1).when(F.col(label) == name, 2).when(F.startswith(F.lower(i), F.lit(name.lower())), 3)
+    row = rows.withColumn("p", rank).filter("p is not null").orderBy("p", F.desc(ts), id_col).select(id_col).first()
+    return row[0] if row else None
+
+
 def latest_per(registry: DataFrame, world: str, ts: str, id_col: str) -> DataFrame:
     """The newest row of each world, ties to the smaller id."""
     return registry.withColumn("_r", F.row_number().over(W.partitionBy(world).orderBy(F.desc(ts), id_col))).filter("_r = 1").drop("_r")
@@ -71,5 +80,12 @@ def state_changes(states: DataFrame, key: str, order: list[str], value: str) ->
     return states.withColumn("previous", before).filter(F.col("previous").isNull() | (F.col("previous") != F.col(value)))
 
 
-def first_per(rows: DataFrame, key: str, *order) -> DataFrame:
-    return rows.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter("_r = 1").drop("_r")
+def first_per(rows: DataFrame, key: str | list[str], *order) -> DataFrame:
+    """The first row of each key (a column, or several) in order."""
+    keys = [key] if isinstance(key, str) else key
+    return rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_r = 1").drop("_r")
+
+
+def unknown_labels(rows: DataFrame, registry: DataFrame, label: str) -> DataFrame:
+    """The rows whose label no row of the registry has: what an ingest still has to take."""
+    return rows.join(registry.select(label).distinct(), label, "left_anti")
