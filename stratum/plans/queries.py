@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 
 from stratum.functions import binary as B
 from stratum.functions import paths as P
-from stratum.operators import diff, integrity, pool, registry
+from stratum.functions import text as T_
+from stratum.operators import archives, compare, diff, integrity, pool, registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -105,9 +106,8 @@ def q06_diff_bounds(spark, d):
 @query(G + ", b AS (SELECT min(wx) AS x0, min(wz) AS z0 FROM g) SELECT DISTINCT (wx - x0) * 8 AS px, (wz - z0) * 8 AS py, CASE WHEN l_linestatus = 'F' THEN 'removed' ELSE 'added' END AS kind FROM g, b")
 def q07_heatmap_cells(spark, d):
     g = grid(spark, d)
-    lo = g.agg(F.min("wx").alias("x0"), F.min("wz").alias("z0")).first()
     kind = F.when(F.col("l_linestatus") == "F", "removed").otherwise("added")
-    return g.select(((F.col("wx") - lo[0]) * 8).alias("px"), ((F.col("wz") - lo[1]) * 8).alias("py"), kind.alias("kind")).distinct()
+    return g.select(*[((F.col(w) - g.agg(F.min(w)).scalar()) * 8).alias(p) for w, p in (("wx", "px"), ("wz", "py"))], kind.alias("kind")).distinct()
 
 
 @query(S + f"SELECT dim, {KINDS3}, count(*) AS features, min(doc_id) AS first_key FROM d GROUP BY dim")
@@ -151,18 +151,23 @@ def q13_presence_semi_join(spark, d):
     return pool.present(snap(spark, d, "b").select("doc_id", "hash"), snap(spark, d, "a"))
 
 
-def refs(spark, d, month: bool = False) -> DataFrame:
-    li = table(spark, d, "lineitem")
-    if month:
-        li = li.filter("l_shipdate >= timestamp_ntz '1995-03-01 00:00:00' and l_shipdate < timestamp_ntz '1995-04-01 00:00:00'")
-    return li.select(F.col("l_orderkey").alias("snapshot"), F.col("l_partkey").alias("hash"), F.col("l_linenumber").alias("line"))
+def refs(spark, d, fine: bool = False) -> DataFrame:
+    """References of snapshots (orders) to payloads (parts, or with ``fine`` the ten payloads of each part)."""
+    payload = F.expr("l_partkey * 10 + l_suppkey % 10") if fine else F.col("l_partkey")
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("snapshot"), payload.alias("hash"), F.col("l_linenumber").alias("line"))
 
 
 def parts(spark, d) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("hash"), "p_type")
 
 
-MONTH = "l_shipdate >= TIMESTAMP '1995-03-01' AND l_shipdate < TIMESTAMP '1995-04-01'"
+def payloads(spark, d) -> DataFrame:
+    """A pool of ten payloads for each part, of which some have no reference at all."""
+    return table(spark, d, "part").select(F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"), "p_partkey").select(F.expr("p_partkey * 10 + k").alias("hash"))
+
+
+POOL = "SELECT p_partkey * 10 + k AS hash FROM part, range(10) t(k)"
+FINE = "SELECT l_partkey * 10 + l_suppkey % 10 FROM lineitem"
 
 
 @query("SELECT l_partkey AS hash, count(*) AS ref_count FROM lineitem GROUP BY 1")
@@ -170,8 +175,8 @@ def q14_ref_counts(spark, d):
     return pool.ref_counts(refs(spark, d))
 
 
-def events_log(spark, d, month: bool = False) -> DataFrame:
-    r = refs(spark, d, month)
+def events_log(spark, d, fine: bool = False) -> DataFrame:
+    r = refs(spark, d, fine)
     dead = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("snapshot"))
     return r.select("hash", F.lit(1).alias("delta")).unionByName(r.join(dead, "snapshot", "left_semi").select("hash", F.lit(-1).alias("delta")))
 
@@ -184,10 +189,10 @@ def q15_ref_counts_after_delete(spark, d):
     return pool.ref_counts(events_log(spark, d), delta=F.col("delta"))
 
 
-@query(f"SELECT p_partkey AS hash FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE {MONTH} AND o_orderstatus <> 'F')")
+@query(f"SELECT hash FROM ({POOL}) WHERE hash NOT IN ({FINE} JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'F')")
 def q16_gc_candidates(spark, d):
     live = pool.ref_counts(events_log(spark, d, True), delta=F.col("delta")).filter("ref_count > 0")
-    return pool.orphans(parts(spark, d), live).select("hash")
+    return pool.orphans(payloads(spark, d), live).select("hash")
 
 
 @query("SELECT count(*) AS missing_references, count(DISTINCT l_partkey) AS missing_hashes FROM lineitem WHERE l_partkey % 13 = 0")
@@ -196,9 +201,9 @@ def q17_missing_reference_count(spark, d):
     return gone.agg(F.count("*").alias("missing_references"), F.count_distinct("hash").alias("missing_hashes"))
 
 
-@query(f"SELECT p_partkey AS hash FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE {MONTH})")
+@query(f"SELECT hash FROM ({POOL}) WHERE hash NOT IN ({FINE})")
 def q18_orphan_blobs(spark, d):
-    return pool.orphans(parts(spark, d), refs(spark, d, True)).select("hash")
+    return pool.orphans(payloads(spark, d), refs(spark, d, True)).select("hash")
 
 
 REC = "SELECT coalesce(i.id, m.id) AS id, CASE WHEN m.id IS NULL THEN 'dangling' WHEN i.id IS NULL THEN 'orphan' ELSE 'ok' END AS state FROM (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 11 <> 0) i FULL JOIN (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 7 <> 0) m ON i.id = m.id"
@@ -328,8 +333,7 @@ def q32_path_prefix_suffix(spark, d):
 @query(U + ", h AS (SELECT min(host) AS a, max(host) AS b FROM u) SELECT page_id, path FROM u, h WHERE path = a OR starts_with(path, a || '/') OR path = b OR starts_with(path, b || '/')")
 def q33_path_include_filter(spark, d):
     t = tree(spark, d)
-    ends = t.agg(F.min("host"), F.max("host")).first()
-    return t.filter(P.under_any(F.col("path"), list(ends))).select("page_id", "path")
+    return t.filter(P.under_any(F.col("path"), [t.agg(f("host")).scalar() for f in (F.min, F.max)])).select("page_id", "path")
 
 
 GLOBS = ["*[135]", "*/page/*", "index.html"]
@@ -347,19 +351,7 @@ PREVIEW = "SELECT host, count(*) FILTER (kind = 'region') AS regions, bool_or(ki
 
 def preview(spark, d) -> DataFrame:
     rel = F.expr("case page_id % 5 when 0 then 'world/level.dat' when 1 then concat('world/region/r.', page_id % 3, '.0.mca') when 2 then 'world/DIM-1/region/r.0.-1.mcr' when 3 then concat('logs/', page_id, '.log') else concat('misc/', page_id) end")
-    e = tree(spark, d).select("host", "size", rel.alias("rel")).withColumn("kind", P.entry_kind(F.col("rel")))
-    k = F.col("kind")
-    return (
-        e.groupBy("host")
-        .agg(
-            F.count_if(k == "region").alias("regions"), F.bool_or(k == "level").alias("has_level"), F.count_if(k == "log").alias("logs"),
-            F.count_distinct(F.when(k == "region", F.regexp_replace("rel", "/[^/]*$", ""))).alias("dimensions"),
-            F.sum(F.when(k.isin("level", "region", "external"), F.col("size")).otherwise(0)).alias("world_bytes"),
-            F.sum(F.when(k.isin("log", "crash"), F.col("size")).otherwise(0)).alias("log_bytes"), F.count_if(k != "other").alias("_known"),
-        )
-        .filter("_known > 0")
-        .drop("_known")
-    )
+    return archives.preview(tree(spark, d).select("host", "size", rel.alias("rel")), "host")
 
 
 @query(ENT + " " + PREVIEW)
@@ -369,13 +361,12 @@ def q35_archive_preview(spark, d):
 
 @query(ENT + f" SELECT count(*) AS servers, sum(regions)::BIGINT AS regions, sum(logs)::BIGINT AS logs, sum(world_bytes)::BIGINT AS world_bytes, sum(log_bytes)::BIGINT AS log_bytes FROM ({PREVIEW})")
 def q36_archive_totals(spark, d):
-    return preview(spark, d).agg(F.count("*").alias("servers"), *[F.sum(c).alias(c) for c in ("regions", "logs", "world_bytes", "log_bytes")])
+    return archives.totals(preview(spark, d))
 
 
 @query(U + " SELECT host, count(*) AS n, min(len(string_split(path, '/'))) AS min_depth FROM u WHERE len(string_split(path, '/')) <= 6 GROUP BY host")
 def q37_server_discovery(spark, d):
-    depth = F.size(F.split("path", "/")).cast("long")
-    return tree(spark, d).withColumn("depth", depth).filter("depth <= 6").groupBy("host").agg(F.count("*").alias("n"), F.min("depth").alias("min_depth"))
+    return tree(spark, d).withColumn("depth", archives.depth(F.col("path"))).filter("depth <= 6").groupBy("host").agg(F.count("*").alias("n"), F.min("depth").alias("min_depth"))
 
 
 @query("SELECT event_id, epoch_us(date_trunc('second', ts)) // 1000 AS name_ts FROM events")
@@ -434,15 +425,15 @@ FROM supplier s JOIN nation n ON (n.n_nationkey % 3 = 0 AND s.s_nationkey = n.n_
 )
 def q45_vault_routing(spark, d):
     s, n = table(spark, d, "supplier"), table(spark, d, "nation").withColumn("vk", F.col("n_nationkey").cast("long"))
-    titled = s.join(n.filter("vk % 3 = 0"), F.col("s_nationkey") == F.col("vk")).select("s_suppkey", "n_name", "vk", F.lit(0).alias("p"))
-    named = s.join(n.filter("vk % 3 <> 0"), F.col("s_nationkey") % 5 == F.col("vk")).select("s_suppkey", "n_name", "vk", F.lit(1).alias("p"))
-    return registry.first_per(titled.unionByName(named), "s_suppkey", "p", "vk").select("s_suppkey", F.col("n_name").alias("vault"))
+    titled = s.join(n.filter("vk % 3 = 0"), F.col("s_nationkey") == F.col("vk")).select("s_suppkey", "n_name", "vk")
+    named = s.join(n.filter("vk % 3 <> 0"), F.col("s_nationkey") % 5 == F.col("vk")).select("s_suppkey", "n_name", "vk")
+    return archives.route(titled, named, "s_suppkey", "vk").select("s_suppkey", F.col("n_name").alias("vault"))
 
 
-@query("SELECT DISTINCT g.k % 7 AS bucket, w AS word FROM (SELECT doc_id AS k, unnest(string_split(text, ' ')) AS w FROM documents WHERE lang = 'es') g WHERE w <> ''")
+@query("SELECT DISTINCT g.k % 7 AS bucket, w AS word FROM (SELECT doc_id AS k, unnest(string_split(text, ' ')) AS w FROM documents) g WHERE w <> ''")
 def q48_palette_union(spark, d):
-    words = table(spark, d, "documents").filter("lang = 'es'").select(F.expr("doc_id % 7").alias("bucket"), F.explode(F.split("text", " ")).alias("word"))
-    return words.filter("word <> ''").distinct()
+    docs = table(spark, d, "documents").withColumn("bucket", F.expr("doc_id % 7"))
+    return archives.distinct_items(docs, "bucket", F.split("text", " "), "word")
 
 
 COLOURS = {"ECONOMY": (200, 80, 60), "PROMO": (60, 160, 90), "STANDARD": (70, 110, 200)}
@@ -458,23 +449,22 @@ def q50_tile_color_join(spark, d):
 
 @query(R + " SELECT id, CASE WHEN id % 7 = 0 THEN 1000 * id WHEN id % 3 <> 0 AND ts > 0 THEN ts ELSE (SELECT max(epoch_us(ts) // 1000) FROM events) END AS chosen FROM r")
 def q51_timestamp_choice(spark, d):
-    newest = table(spark, d, "events").agg(F.max(millis(F.col("ts")))).first()[0]
-    explicit, played = F.expr("if(id % 7 = 0, 1000 * id, null)"), F.expr("if(id % 3 <> 0 and ts > 0, ts, null)")
-    return reg(spark, d).select("id", F.coalesce(explicit, played, F.lit(newest)).alias("chosen"))
+    newest = table(spark, d, "events").agg(F.max(millis(F.col("ts")))).scalar()
+    explicit, played = F.expr("if(id % 7 = 0, 1000 * id, null)"), F.expr("if(id % 3 <> 0, ts, null)")
+    return reg(spark, d).select("id", archives.choose_time(explicit, played, newest).alias("chosen"))
 
 
 @query(R + " SELECT id, label FROM r WHERE label NOT IN (SELECT label FROM r WHERE id % 2 = 0)")
 def q52_ingest_idempotent(spark, d):
     r = reg(spark, d)
-    return r.join(r.filter("id % 2 = 0").select("label"), "label", "left_anti").select("id", "label")
+    return registry.unknown_labels(r, r.filter("id % 2 = 0"), "label").select("id", "label")
 
 
 @query(S + ", one AS (SELECT min(path) AS p FROM snap_a) SELECT a.path, min(strlen(t.text)) AS bytes FROM snap_a a JOIN documents t ON sha256(t.text) = a.hash, one WHERE a.path = p OR a.path = 'no/such/file' GROUP BY 1")
 def q53_snapshot_file_read(spark, d):
     a = snap(spark, d, "a")
-    path = a.agg(F.min("path")).first()[0]
     blobs = table(spark, d, "documents").select(F.sha2("text", 256).alias("_h"), "text")
-    found = a.filter(F.col("path").isin(path, "no/such/file")).join(blobs, F.col("hash") == F.col("_h"))
+    found = a.filter((F.col("path") == a.agg(F.min("path")).scalar()) | (F.col("path") == "no/such/file")).join(blobs, F.col("hash") == F.col("_h"))
     return found.groupBy("path").agg(F.min(F.octet_length("text")).cast("long").alias("bytes"))
 
 
@@ -543,7 +533,7 @@ def q63_repair_plan(spark, d):
     return registry.repair_plan(t, "id", "wn", "ts", "target", "title").select("id", "action", "new_label")
 
 
-@query(f"SELECT (SELECT count(*) FROM documents WHERE doc_id % 10 <> 3) AS ok, (SELECT count(*) FROM documents WHERE doc_id % 10 = 3) AS corrupt, (SELECT count(*) FROM lineitem WHERE l_partkey % 13 = 0) AS missing_referenced, (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE {MONTH})) AS orphans")
+@query(f"SELECT (SELECT count(*) FROM documents WHERE doc_id % 10 <> 3) AS ok, (SELECT count(*) FROM documents WHERE doc_id % 10 = 3) AS corrupt, (SELECT count(*) FROM lineitem WHERE l_partkey % 13 = 0) AS missing_referenced, (SELECT count(*) FROM ({POOL}) WHERE hash NOT IN ({FINE})) AS orphans")
 def q64_verify_report(spark, d):
     parts_of = (q21_verify_rollup(spark, d), q17_missing_reference_count(spark, d).select(F.col("missing_references").alias("missing_referenced")), q18_orphan_blobs(spark, d).agg(F.count("*").alias("orphans")))
     out = parts_of[0].withColumn("_k", F.lit(0))
@@ -562,18 +552,12 @@ def q65_fsck_report(spark, d):
 @query(U + ", m AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'world/region/r.' || (page_id % 5 - 2) || '.' || (page_id % 4) || '.mca' WHEN page_id % 3 = 1 THEN 'r.0.0.mca' ELSE path END AS path FROM u) SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'migrate' ELSE 'keep' END AS action, CASE WHEN page_id % 3 = 0 THEN page_id % 5 - 2 ELSE 0 END AS rx FROM m")
 def q66_migrate_plan(spark, d):
     path = F.expr("case when page_id % 3 = 0 then concat('world/region/r.', page_id % 5 - 2, '.', page_id % 4, '.mca') when page_id % 3 = 1 then 'r.0.0.mca' else path end")
-    t = tree(spark, d).select("page_id", path.alias("path"))
-    whole = F.col("path").rlike(P.REGION_PATTERN) & F.col("path").contains("/")
-    return t.select("page_id", F.when(whole, "migrate").otherwise("keep").alias("action"), F.when(whole, F.regexp_extract("path", P.REGION_PATTERN, 1).try_cast("long")).otherwise(0).alias("rx"))
+    return archives.migration(tree(spark, d).select("page_id", path.alias("path"))).select("page_id", "action", F.coalesce("rx", F.lit(0)).alias("rx"))
 
 
 @query(L + " SELECT server, count(*) AS files, sum(size)::BIGINT AS bytes, array_to_string(list_sort(list(path))[1:5], ',') AS samples FROM l GROUP BY 1")
 def q67_vault_summary(spark, d):
-    ls = logs(spark, d)
-    totals = ls.groupBy("server").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
-    five = ls.withColumn("_r", F.row_number().over(W.partitionBy("server").orderBy("path"))).filter("_r <= 5")
-    names = five.groupBy("server").agg(F.array_join(F.sort_array(F.collect_list("path")), ",").alias("samples"))
-    return totals.join(names, "server")
+    return archives.group_summary(logs(spark, d), "server", "path", "size")
 
 
 @query(S + "SELECT * FROM d")
@@ -608,3 +592,64 @@ def q49_manifest_codec_roundtrip(spark, d):
     made = li.groupBy(F.col("l_suppkey").alias("snapshot")).agg(B.encode_manifest(F.collect_list(row)).alias("data"))
     out = made.select("snapshot", F.explode(B.decode_manifest("data")).alias("r"))
     return out.select("snapshot", "r.dimension", F.col("r.cx").cast("long").alias("cx"), F.col("r.cz").alias("cz"), F.lower(F.hex("r.content_hash")).alias("content_hash"))
+
+
+def sided(spark, d, side: str) -> DataFrame:
+    return snap(spark, d, side).join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").select(F.col("path").alias("rel"), F.col("n_chars").alias("size"), F.col("hash").alias("sha256"))
+
+
+@query(
+    S.rsplit("d AS", 1)[0].rstrip().rstrip(",")
+    + """, a AS (SELECT path, hash, n_chars AS size FROM snap_a JOIN documents USING (doc_id)), b AS (SELECT path, hash, n_chars AS size FROM snap_b JOIN documents USING (doc_id))
+SELECT coalesce(a.path, b.path) AS relative_path, CASE WHEN b.path IS NULL AND a.path LIKE 'src0/%' THEN 'excluded' WHEN b.path IS NULL THEN 'missing_in_restore' WHEN a.path IS NULL THEN 'extra_in_restore' WHEN a.hash <> b.hash THEN 'byte_mismatch' ELSE 'equal' END AS status,
+coalesce(a.size, -1) AS source_size, coalesce(b.size, -1) AS restore_size FROM a FULL JOIN b ON a.path = b.path"""
+)
+def q70_compare_files(spark, d):
+    return compare.compare_files(sided(spark, d, "a"), sided(spark, d, "b"), ["src0/**"])
+
+
+GA = "a AS (SELECT l_returnflag AS dimension_key, l_partkey % 50 AS rx, l_suppkey % 10 AS rz, l_linenumber AS cx, l_orderkey % 32 AS cz, min(l_quantity)::VARCHAR AS h FROM lineitem WHERE l_partkey % 50 <> 7 GROUP BY ALL)"
+GB = "b AS (SELECT l_returnflag AS dimension_key, l_partkey % 50 AS rx, l_suppkey % 10 AS rz, l_linenumber AS cx, l_orderkey % 32 AS cz, max(l_quantity)::VARCHAR AS h FROM lineitem WHERE l_partkey % 50 <> 9 AND l_orderkey % 32 <> 3 GROUP BY ALL)"
+
+
+def side_cells(spark, d, side: str) -> DataFrame:
+    li = table(spark, d, "lineitem").filter("l_partkey % 50 <> 7" if side == "a" else "l_partkey % 50 <> 9 and l_orderkey % 32 <> 3")
+    keys = [F.col("l_returnflag").alias("dimension_key"), F.expr("l_partkey % 50").alias("rx"), F.expr("l_suppkey % 10").alias("rz"), F.col("l_linenumber").alias("cx"), F.expr("l_orderkey % 32").alias("cz")]
+    return li.groupBy(*keys).agg((F.min if side == "a" else F.max)("l_quantity").cast("string").alias("content_hash"))
+
+
+@query(f"WITH {GA}, {GB} SELECT coalesce(x.dimension_key, y.dimension_key) AS dimension_key, coalesce(x.rx, y.rx) AS rx, coalesce(x.rz, y.rz) AS rz, CASE WHEN y.rx IS NULL THEN 'only_in_source' ELSE 'only_in_restore' END AS status FROM (SELECT DISTINCT dimension_key, rx, rz FROM a) x FULL JOIN (SELECT DISTINCT dimension_key, rx, rz FROM b) y ON x.dimension_key = y.dimension_key AND x.rx = y.rx AND x.rz = y.rz WHERE x.rx IS NULL OR y.rx IS NULL")
+def q71_compare_regions(spark, d):
+    return compare.compare_regions(side_cells(spark, d, "a"), side_cells(spark, d, "b"))
+
+
+@query(
+    f"WITH {GA}, {GB}, r AS (SELECT DISTINCT dimension_key, rx, rz FROM a INTERSECT SELECT DISTINCT dimension_key, rx, rz FROM b), x AS (SELECT a.* FROM a JOIN r USING (dimension_key, rx, rz)), y AS (SELECT b.* FROM b JOIN r USING (dimension_key, rx, rz)) "
+    "SELECT dimension_key, rx, rz, cx, cz, CASE WHEN y.h IS NULL THEN 'missing_in_restore' WHEN x.h IS NULL THEN 'extra_in_restore' ELSE 'hash_mismatch' END AS status FROM x FULL JOIN y USING (dimension_key, rx, rz, cx, cz) WHERE x.h IS DISTINCT FROM y.h"
+)
+def q72_compare_cells(spark, d):
+    return compare.compare_cells(side_cells(spark, d, "a"), side_cells(spark, d, "b"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1024 ** 2 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1024 ** 3 THEN printf('%.1f MB', n / 1024.0 ** 2) ELSE printf('%.1f GB', n / 1024.0 ** 3) END AS size FROM (SELECT o_orderkey, o_orderkey * o_orderkey * 64 AS n FROM orders)")
+def q73_size_text(spark, d):
+    n = F.col("o_orderkey") * F.col("o_orderkey") * 64
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), T_.size_text(n).alias("size"))
+
+
+@query("SELECT event_id, strftime(ts + INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M:%S') || '+05:30' AS local FROM events")
+def q74_local_time(spark, d):
+    return table(spark, d, "events").select("event_id", T_.local_time(F.unix_millis(F.col("ts").cast("timestamp")), "Asia/Kolkata").alias("local"))
+
+
+@query(U + ", f AS (SELECT path || CASE page_id % 4 WHEN 0 THEN '.zip' WHEN 1 THEN '.tar.gz' WHEN 2 THEN '.txt' ELSE '' END AS rel, size FROM u), k AS (SELECT * FROM f WHERE (rel LIKE '%.zip' OR rel LIKE '%.tar.gz') AND len(string_split(rel, '/')) <= 4) SELECT count(*) AS archive_count, sum(size)::BIGINT AS total_bytes, array_to_string((SELECT list(n ORDER BY n) FROM (SELECT regexp_extract(rel, '[^/]*$') AS n FROM k ORDER BY n LIMIT 5)), ',') AS samples FROM k")
+def q75_archive_scan(spark, d):
+    rel = F.concat("path", F.expr("case page_id % 4 when 0 then '.zip' when 1 then '.tar.gz' when 2 then '.txt' else '' end"))
+    found = archives.archive_scan(tree(spark, d).select(rel.alias("rel"), "size"))
+    return found.withColumn("samples", F.array_join("samples", ","))
+
+
+@query("SELECT server, dim, r.rx AS rx FROM (SELECT source AS server, lang AS dim, doc_id % 9 - 4 AS rx, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS n FROM documents) r WHERE n = 1")
+def q76_first_per_group(spark, d):
+    docs = table(spark, d, "documents").select(F.col("source").alias("server"), F.col("lang").alias("dim"), F.expr("doc_id % 9 - 4").alias("rx"), "doc_id")
+    return registry.first_per(docs, ["server", "dim"], "doc_id").select("server", "dim", "rx")
