@@ -41,6 +41,7 @@ def _letters():
 def gram_codes(text: str, before=(0,), last: bool = True):
     """All n-grams of 1 to 3 letters of each word, with one blank before and after the word, as int64 codes.
 
+    A blank in front adds nothing to a code: the first letters of words count once more as shorter grams.
     ``before`` are the last symbols, at most two, of what stands before the text, and ``last`` says that nothing
     follows it. Gives the codes and the last two symbols.
     """

@@ -13,7 +13,10 @@ def fold(doc_id, folds):
 
 
 def grams(text):
-    """How often each n-gram of one to three letters occurs; blanks count as letter 0, one between words."""
+    """How often each n-gram of one to three letters occurs; blanks count as letter 0, one between words.
+
+    A blank in front adds nothing to a gram: the first letters of words count once more as shorter grams.
+    """
     s = [0]
     for ch in text or "":
         c = ord(ch.lower()[0]) if ch.isalpha() else 0
@@ -26,9 +29,9 @@ def grams(text):
         if c:
             out[(c,)] += 1
         if i and len(s) > 1:
-            out[(s[i - 1], c)] += 1
+            out[(s[i - 1], c) if s[i - 1] else (c,)] += 1
         if i > 1 and s[i - 1]:
-            out[(s[i - 2], s[i - 1], c)] += 1
+            out[(s[i - 2], s[i - 1], c) if s[i - 2] else (s[i - 1], c)] += 1
     return out
 
 
