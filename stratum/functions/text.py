@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UNITS = ("B", "KB", "MB", "GB", "TB")
 
 
-def size_text(n: Column) -> Column:
-    """Bytes in the largest unit below 1024 of it, up to TB, with one decimal place beyond bytes; halves go to the even digit."""
-    part = lambda k: F.concat(F.format_string("%.1f", F.bround((n / 1024**k).cast("double"), 1)), F.lit(f" {UNITS[k]}"))
-    out = part(4)
-    for k in (3, 2, 1):
+def size_text(n: Column, units: Sequence[str] = UNITS) -> Column:
+    """Bytes in the largest unit below 1024 of it, or else the last one, with one decimal place beyond bytes; halves go to the even digit. Beyond 2^53 bytes count as the nearest double."""
+    m = n.cast("double").cast("long")
+
+    def part(k: int) -> Column:
+        # whole numbers only: the shortest text of a double can show a half where its value has none
+        bits, low = 10 * k, 1024**k - 1
+        rest = m.bitwiseAND(low) * 10
+        digit = F.shiftright(rest, bits)
+        digit = digit + (rest.bitwiseAND(low) + digit.bitwiseAND(1) > 1024**k // 2).cast("long")
+        return F.concat((F.shiftright(m, bits) + (digit == 10).cast("long")).cast("string"), F.lit("."), (digit % 10).cast("string"), F.lit(f" {units[k]}"))
+
+    out = part(len(units) - 1)
+    for k in range(len(units) - 2, 0, -1):
         out = F.when(n < 1024 ** (k + 1), part(k)).otherwise(out)
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(out)
 
